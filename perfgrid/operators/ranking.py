@@ -43,6 +43,11 @@ def hash_rank(
     return ranked.withColumn(rank, (F.col("_shift") + F.col("_in")).cast("bigint")).drop("_sub", "_in", "_shift")
 
 
+def with_constants(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Adds the columns of a one-row table (an ungrouped aggregate) to every row."""
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
 def top_k(df: DataFrame, groups: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """First k rows per group; map tasks keep k rows per group before the shuffle."""
     w = Window.partitionBy(*groups).orderBy(*order)
@@ -68,7 +73,7 @@ def grouped_quantile(
     d = df.filter(F.col(value).isNotNull())
     lo_hi = F.percentile_approx(value, F.array(F.lit(max(0.0, q - slack)), F.lit(min(1.0, q + slack))), accuracy)
     sketch = d.groupBy(*groups).agg(lo_hi.alias("_b"), F.count(F.lit(1)).alias("_total"))
-    joined = d.join(sketch, groups) if groups else d.crossJoin(F.broadcast(sketch))
+    joined = d.join(sketch, groups) if groups else with_constants(d, sketch)
     lo, hi = F.col("_b")[0], F.col("_b")[1]
     inside = (
         joined.filter(F.col(value) <= F.when(F.lit(q) + slack >= 1.0, F.col(value)).otherwise(hi))

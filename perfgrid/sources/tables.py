@@ -71,7 +71,9 @@ def parse_results(text: DataFrame) -> DataFrame:
     """Result files read as (file, lines): header of config headings, one ``Error``
     and one ``Time`` row. Cells pair up by heading, so column order is free."""
     d = text.select(
-        stem(F.element_at(F.split("path", "/"), -1)).alias("dataset_id"),
+        stem(
+            F.coalesce(F.nullif(F.regexp_extract("path", r"name=([^/]*)/", 1), F.lit("")), F.element_at(F.split("path", "/"), -1))
+        ).alias("dataset_id"),
         F.transform(F.split(F.rtrim("content"), r"\r?\n"), _cells).alias("rows"),
     )
     row = lambda name: F.filter("rows", lambda r: F.get(r, F.lit(0)) == name)[0]

@@ -68,7 +68,7 @@ def main(names, sf_dir):
         try:
             res = compare(spark, con, name, q[name], o.get(name), sf_dir)
         except Exception as e:
-            res = "FAIL " + " ".join(str(e).split())[:600]
+            res = "FAIL " + " ".join(str(e).split())[:900]
         bad += not res.startswith(("ok", "rows-only"))
         print(f"{name:28s} {time.time() - t:6.1f}s {res}", flush=True)
     print("bad:", bad)
