@@ -92,11 +92,11 @@ def models(stats: DataFrame, keys: list[str]) -> DataFrame:
         F.max("n_all").alias("n"), F.array_sort(F.collect_list(part)).alias("p"), F.array_sort(F.collect_list(prep_part)).alias("q")
     )
     total = F.sum("n").over(w)
-    per_class = per_class.withColumn("_prior", F.log(F.col("n") / total))
+    per_class = per_class.withColumn("prior", F.col("n") / total).withColumn("_prior", F.log("prior"))
     const = F.aggregate("p", F.lit(0.0), lambda s, x: s - F.lit(0.5) * F.log(F.lit(2 * math.pi) * x["var"]))
     cls = F.struct(
         F.col("label"), (F.col("_prior") + const).alias("base"), F.transform("p", lambda x: x["mean"]).alias("mean"),
-        F.transform("p", lambda x: x["var"]).alias("var"),
+        F.transform("p", lambda x: x["var"]).alias("var"), F.col("prior"),
     )
     return per_class.groupBy(*groups).agg(F.array_sort(F.collect_list(cls)).alias("classes"), F.first("q").alias("prep"))
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from perfgrid.session import partitions
+from perfgrid.session import cut, partitions
 
 
 def _digits(df: DataFrame) -> int:
@@ -97,3 +97,22 @@ def running_prefix(df: DataFrame, groups: list[str], cost: str, order: list[Colu
     """Longest prefix (in the given order) whose running cost stays within the limit."""
     w = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(out, F.sum(cost).over(w)).filter(F.col(out) <= limit)
+
+
+def prefix_sums(df: DataFrame, groups: list[str], order: list[str], sums: list[str], suffix: str = "_upto") -> DataFrame:
+    """Running sums in (groups, order) without putting a group into one task.
+
+    Rows are range-partitioned on groups and order, so a large group spans many
+    partitions. The partitioned rows are checkpointed (range bounds are sampled and
+    must not be drawn twice), summed inside each partition, and shifted by the
+    totals of the group's earlier partitions.
+    """
+    ranged = df.repartitionByRange(*groups, *order).withColumn("_pid", F.spark_partition_id())
+    ranged = cut(ranged)
+    totals = ranged.groupBy(*groups, "_pid").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    before = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = totals.select(*groups, "_pid", *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_s_{s}") for s in sums])
+    inside = Window.partitionBy(*groups, "_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.select("*", *[F.sum(s).over(inside).alias(f"_i_{s}") for s in sums]).join(shifts, [*groups, "_pid"])
+    out = out.withColumns({f"{s}{suffix}": F.col(f"_i_{s}") + F.col(f"_s_{s}") for s in sums})
+    return out.drop("_pid", *[f"_i_{s}" for s in sums], *[f"_s_{s}" for s in sums])

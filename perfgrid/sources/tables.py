@@ -88,8 +88,9 @@ def parse_results(text: DataFrame) -> DataFrame:
 
 
 def _cells(line: Column) -> Column:
-    """Splits one CSV line, keeping commas inside double quotes."""
-    parts = F.split(line, r""",(?=(?:[^"]*"[^"]*")*[^"]*$)""")
+    """Cells of one CSV line in one linear pass; commas inside quotes are kept."""
+    pattern = r',("(?:[^"]++|"")*+"|[^,"]*+)'
+    parts = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(pattern), F.lit(1))
     return F.transform(parts, lambda c: F.replace(F.regexp_replace(c, r'^"|"$', ""), F.lit('""'), F.lit('"')))
 
 
