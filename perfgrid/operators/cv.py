@@ -48,19 +48,29 @@ def train_fills(rows: DataFrame, dataset: list[str], cols: list[str], strategy:
 
 
 def family_models(rows: DataFrame, dataset: list[str], label: str, cols: list[str], configs: list[dict], k: int) -> DataFrame:
-    """Models of all given configs: the rows are scanned once for moments and once
-    per imputation strategy that needs more than moments."""
+    """Models of all given configs in one plan.
+
+    The rows are scanned once for moments and once per imputation strategy that
+    needs more than moments. Everything after works on the small moment table, in
+    which the configs are rows, not separate jobs.
+    """
     base = cut(gnb.class_moments(rows, dataset, label, cols, k))
-    out = None
+    filled = None
     for strategy in dict.fromkeys(c["imputer"] for c in configs):
-        fills = train_fills(rows, dataset, cols, strategy, k)
-        filled = cut(gnb.with_fill(base, dataset, fills))
-        for c in (c for c in configs if c["imputer"] == strategy):
-            best = int(c["share"] * len(cols)) if c["share"] else None
-            stats = gnb.reduced(gnb.scaled(filled, dataset, c["scale"]), dataset, c["reducer"], best)
-            m = gnb.models(stats, dataset).withColumn("config_id", F.lit(c["config_id"]))
-            out = m if out is None else out.unionByName(m)
-    return out
+        one = gnb.with_fill(base, dataset, train_fills(rows, dataset, cols, strategy, k)).withColumn("imputer", F.lit(strategy))
+        filled = one if filled is None else filled.unionByName(one)
+    params = [
+        F.struct(
+            F.lit(c["config_id"]).alias("config_id"), F.lit(c["imputer"]).alias("imputer"), F.lit(c["scale"]).alias("scale"),
+            F.lit(c["reducer"]).cast("string").alias("reducer"), F.lit(int(c["share"] * len(cols)) if c["share"] else 0).alias("k"),
+        )
+        for c in configs
+    ]
+    d = filled.withColumn("_p", F.explode(F.array(*params))).filter("_p.imputer = imputer")
+    d = d.select(*[F.col(c) for c in d.columns if c not in ("_p", "imputer")], "_p.config_id", "_p.scale", "_p.reducer", "_p.k")
+    keys = [*dataset, "config_id"]
+    d = cut(gnb.scaled(d, keys, F.col("scale")))
+    return gnb.models(gnb.reduced(d, keys, F.col("reducer"), F.col("k")), keys)
 
 
 def cv_predictions(

@@ -44,17 +44,16 @@ def with_fill(stats: DataFrame, keys: list[str], fills: DataFrame | None) -> Dat
     return d.withColumn("var", dev / F.col("n_all")).withColumn("mean", F.col("_m")).withColumn("n", F.col("n_all")).drop("_m")
 
 
-def scaled(stats: DataFrame, keys: list[str], scale: bool) -> DataFrame:
-    """Moments after standardization; shift 0 and divisor 1 when it is off."""
+def scaled(stats: DataFrame, keys: list[str], scale: bool | Column) -> DataFrame:
+    """Moments after standardization; shift 0 and divisor 1 where it is off."""
+    on = F.lit(scale) if isinstance(scale, bool) else scale
     w = Window.partitionBy(*keys, "outer", "feature")
     n = F.sum("n").over(w)
     d = stats.withColumn("shift", F.sum(F.col("n") * F.col("mean")).over(w) / n)
     gap = F.col("mean") - F.col("shift")
     d = d.withColumn("total_var", F.sum(F.col("n") * (F.col("var") + gap * gap)).over(w) / n)
-    if not scale:
-        return d.withColumn("shift", F.lit(0.0)).withColumn("sd", F.lit(1.0))
     sd = F.sqrt("total_var")
-    d = d.withColumn("sd", F.when(sd > 0, sd).otherwise(F.lit(1.0)))
+    d = d.withColumn("sd", F.when(on & (sd > 0), sd).otherwise(F.lit(1.0))).withColumn("shift", F.when(on, F.col("shift")).otherwise(F.lit(0.0)))
     return (
         d.withColumn("mean", (F.col("mean") - F.col("shift")) / F.col("sd"))
         .withColumn("var", F.col("var") / (F.col("sd") * F.col("sd")))
@@ -62,19 +61,20 @@ def scaled(stats: DataFrame, keys: list[str], scale: bool) -> DataFrame:
     )
 
 
-def reduced(stats: DataFrame, keys: list[str], reducer: str | None, k: Column | int | None = None) -> DataFrame:
-    """Keeps varying features, or the k best by ANOVA F of the training rows."""
+def reduced(stats: DataFrame, keys: list[str], reducer: str | None | Column, k: Column | int | None = None) -> DataFrame:
+    """Keeps all features, varying ones, or the k best by ANOVA F of the training rows.
+
+    Reducer and k may be columns, so that one job serves many configs.
+    """
     if reducer is None:
         return stats
-    if reducer == "VarianceThreshold":
-        return stats.filter("total_var > 0")
-    if reducer == "SelectKBest":
-        groups = [*keys, "outer"]
-        f = prep.anova_f_of(stats, groups)
-        w = Window.partitionBy(*groups).orderBy(F.col("f").desc_nulls_last(), "feature")
-        best = f.withColumn("_p", F.row_number().over(w)).filter(F.col("_p") <= k).select(*groups, "feature")
-        return stats.join(best, [*groups, "feature"], "left_semi")
-    raise ValueError(f"unknown reducer {reducer}")
+    name = F.lit(reducer) if isinstance(reducer, str) else reducer
+    limit = F.lit(k) if k is None or isinstance(k, int) else k
+    groups = [*keys, "outer"]
+    w = Window.partitionBy(*groups).orderBy(F.col("f").desc_nulls_last(), "feature")
+    place = prep.anova_f_of(stats, groups).select(*groups, "feature", F.row_number().over(w).alias("_place"))
+    keep = F.when(name == "VarianceThreshold", F.col("total_var") > 0).when(name == "SelectKBest", F.col("_place") <= limit).otherwise(F.lit(True))
+    return stats.join(place, [*groups, "feature"], "left").filter(keep).drop("_place")
 
 
 def models(stats: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,7 +86,8 @@ def models(stats: DataFrame, keys: list[str]) -> DataFrame:
     groups = [*keys, "outer"]
     w = Window.partitionBy(*groups)
     d = stats.withColumn("_eps", F.max("total_var").over(w) * SMOOTHING)
-    part = F.struct("feature", "mean", (F.col("var") + F.col("_eps")).alias("var"))
+    wide = F.col("var") + F.col("_eps")
+    part = F.struct("feature", "mean", wide.alias("var"), (F.lit(-0.5) / wide).alias("half"))
     prep_part = F.struct("feature", "fill", "shift", "sd")
     per_class = d.groupBy(*groups, "label").agg(
         F.max("n_all").alias("n"), F.array_sort(F.collect_list(part)).alias("p"), F.array_sort(F.collect_list(prep_part)).alias("q")
@@ -94,10 +95,7 @@ def models(stats: DataFrame, keys: list[str]) -> DataFrame:
     total = F.sum("n").over(w)
     per_class = per_class.withColumn("prior", F.col("n") / total).withColumn("_prior", F.log("prior"))
     const = F.aggregate("p", F.lit(0.0), lambda s, x: s - F.lit(0.5) * F.log(F.lit(2 * math.pi) * x["var"]))
-    cls = F.struct(
-        F.col("label"), (F.col("_prior") + const).alias("base"), F.transform("p", lambda x: x["mean"]).alias("mean"),
-        F.transform("p", lambda x: x["var"]).alias("var"), F.col("prior"),
-    )
+    cls = F.struct(F.col("label"), (F.col("_prior") + const).alias("base"), "p", "prior")
     return per_class.groupBy(*groups).agg(F.array_sort(F.collect_list(cls)).alias("classes"), F.first("q").alias("prep"))
 
 
@@ -110,22 +108,48 @@ def fit(
     return models(reduced(scaled(stats, dataset, scale), dataset, reducer, best), dataset)
 
 
+def aligned(entries: Column, cols: list[str], field: str, default: float) -> Column:
+    """Array over the given features from (feature, ..) structs; absent ones get the default."""
+    lookup = F.map_from_entries(F.transform(entries, lambda e: F.struct(e["feature"], e[field])))
+    return F.array(*[F.coalesce(F.element_at(lookup, F.lit(c)), F.lit(default)) for c in cols])
+
+
+def prepared(cols: list[str], fill: Column, shift: Column, sd: Column) -> list[Column]:
+    """Prepared features as plain expressions, so that they stay in generated code."""
+    return [(F.coalesce(F.col(c).cast("double"), F.get(fill, F.lit(j))) - F.get(shift, F.lit(j))) / F.get(sd, F.lit(j)) for j, c in enumerate(cols)]
+
+
+def best_label(scores: Column) -> Column:
+    """Label of the largest score; scores come in label order, so ties go to the smallest."""
+    return F.aggregate(scores, scores[0], lambda b, c: F.when(c["s"] > b["s"], c).otherwise(b))["label"]
+
+
 def predict(df: DataFrame, model: DataFrame, dataset: list[str], cols: list[str], out: str = "prediction") -> DataFrame:
     """Prediction of every row by the model that left out its fold (or the whole model).
 
     ``model`` may hold several configs; the rows then come once per config.
     """
-    row = F.create_map(*[x for c in cols for x in (F.lit(c), F.col(c).cast("double"))])
+    per_class = lambda c: F.struct(
+        c["label"].alias("label"), c["base"].alias("base"), aligned(c["p"], cols, "mean", 0.0).alias("m"), aligned(c["p"], cols, "half", 0.0).alias("a")
+    )
+    ready = (
+        model.withColumn("_fill", aligned(F.col("prep"), cols, "fill", 0.0))
+        .withColumn("_shift", aligned(F.col("prep"), cols, "shift", 0.0))
+        .withColumn("_sd", aligned(F.col("prep"), cols, "sd", 1.0))
+        .withColumn("_classes", F.transform("classes", per_class))
+        .drop("prep", "classes")
+    )
     d = df.withColumn("outer", F.col("fold")) if "fold" in df.columns else df.withColumn("outer", F.lit(WHOLE))
-    d = d.join(model, [*dataset, "outer"])
-    x = F.transform("prep", lambda q: (F.coalesce(F.element_at(row, q["feature"]), q["fill"]) - q["shift"]) / q["sd"])
-    d = d.withColumn("_x", x)
+    d = d.join(ready, [*dataset, "outer"])
+    xs = [f"_x{j}" for j in range(len(cols))]
+    d = d.withColumns(dict(zip(xs, prepared(cols, F.col("_fill"), F.col("_shift"), F.col("_sd")))))
 
     def score(c):
-        z = F.zip_with("_x", F.arrays_zip(c["mean"].alias("m"), c["var"].alias("v")), lambda a, b: (a - b["m"]) * (a - b["m"]) / b["v"])
-        return F.struct((c["base"] - F.lit(0.5) * F.aggregate(z, F.lit(0.0), lambda s, t: s + t)).alias("s"), c["label"].alias("label"))
-
-    first = F.transform("classes", score)
-    d = d.withColumn("_s", first)
-    best = F.aggregate("_s", F.col("_s")[0], lambda b, c: F.when(c["s"] > b["s"], c).otherwise(b))
-    return d.withColumn(out, best["label"]).drop("_x", "_s", "prep", "classes", "outer")
+        total = c["base"]
+        for j, x in enumerate(xs):
+            gap = F.col(x) - F.get(c["m"], F.lit(j))
+            total = total + gap * gap * F.get(c["a"], F.lit(j))
+        return F.struct(total.alias("s"), c["label"].alias("label"))
+
+    d = d.withColumn("_s", F.transform("_classes", score))
+    return d.withColumn(out, best_label(F.col("_s"))).drop("_s", "_classes", "_fill", "_shift", "_sd", "outer", *xs)

@@ -14,14 +14,22 @@ from perfgrid.session import cut
 
 
 def _start(rows: DataFrame, dataset: list[str], label: str, cols: list[str], k: int | None, scale: bool) -> DataFrame:
-    """(dataset, outer, label, n, prep, w): zero weights, bias first."""
+    """(dataset, outer, label, n, fill, shift, sd, w): zero weights, bias first."""
     stats = gnb.scaled(gnb.with_fill(gnb.class_moments(rows, dataset, label, cols, k), dataset, None), dataset, scale)
     per = stats.groupBy(*dataset, "outer", "label").agg(
-        F.max("n_all").alias("n_class"), F.array_sort(F.collect_list(F.struct("feature", "fill", "shift", "sd"))).alias("prep")
+        F.max("n_all").alias("n_class"), F.collect_list(F.struct("feature", "fill", "shift", "sd")).alias("_q")
     )
-    zeros = F.transform(F.sequence(F.lit(0), F.size("prep")), lambda _: F.lit(0.0))
+    arrays = {f: gnb.aligned(F.col("_q"), cols, f, 1.0 if f == "sd" else 0.0) for f in ("fill", "shift", "sd")}
+    zeros = F.array(*[F.lit(0.0)] * (len(cols) + 1))
     total = F.sum("n_class").over(Window.partitionBy(*dataset, "outer"))
-    return per.withColumn("n", total).withColumn("w", zeros).drop("n_class")
+    return per.withColumns(arrays).withColumn("n", total).withColumn("w", zeros).drop("n_class", "_q")
+
+
+def _score(w, xs: list[str]):
+    total = F.get(w, F.lit(0))
+    for j, x in enumerate(xs):
+        total = total + F.get(w, F.lit(j + 1)) * F.col(x)
+    return total
 
 
 def _pull(loss: str, y, s):
@@ -37,19 +45,17 @@ def _pull(loss: str, y, s):
 
 def epoch_sums(rows: DataFrame, state: DataFrame, dataset: list[str], label: str, cols: list[str], loss: str) -> DataFrame:
     """Sum over the training rows of pull * y * (1, x) per (dataset, outer, label)."""
-    model = F.struct("outer", F.col("label").alias("c"), "prep", "w")
+    model = F.struct("outer", F.col("label").alias("c"), "fill", "shift", "sd", "w")
     packed = state.groupBy(*dataset).agg(F.collect_list(model).alias("_models"))
-    row = F.create_map(*[v for c in cols for v in (F.lit(c), F.col(c).cast("double"))])
-    d = rows.select(*dataset, F.col(label).alias("_y"), (F.col("fold") if "fold" in rows.columns else F.lit(-2)).alias("_f"), row.alias("_row"))
+    fold = F.col("fold") if "fold" in rows.columns else F.lit(-2)
+    d = rows.select(*dataset, F.col(label).alias("_y"), fold.alias("_f"), *cols)
     d = d.join(packed, dataset).withColumn("m", F.explode("_models")).filter("m.outer <> _f").drop("_models")
-    x = F.transform("m.prep", lambda q: (F.coalesce(F.element_at("_row", q["feature"]), q["fill"]) - q["shift"]) / q["sd"])
-    d = d.withColumn("_x", F.concat(F.array(F.lit(1.0)), x))
-    score = F.aggregate(F.zip_with("_x", "m.w", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    xs = [f"_x{j}" for j in range(len(cols))]
+    d = d.withColumns(dict(zip(xs, gnb.prepared(cols, F.col("m.fill"), F.col("m.shift"), F.col("m.sd")))))
     sign = F.when(F.col("_y") == F.col("m.c"), F.lit(1.0)).otherwise(F.lit(-1.0))
-    d = d.withColumn("_s", score).withColumn("_sign", sign)
+    d = d.withColumn("_s", _score(F.col("m.w"), xs)).withColumn("_sign", sign)
     d = d.withColumn("_g", _pull(loss, F.col("_sign"), F.col("_s")) * F.col("_sign"))
-    width = len(cols) + 1
-    sums = F.array(*[F.sum(F.col("_g") * F.get("_x", F.lit(j))) for j in range(width)])
+    sums = F.array(F.sum("_g"), *[F.sum(F.col("_g") * F.col(x)) for x in xs])
     return d.groupBy(*dataset, F.col("m.outer").alias("outer"), F.col("m.c").alias("label")).agg(sums.alias("g"))
 
 
@@ -57,7 +63,7 @@ def fit(
     rows: DataFrame, dataset: list[str], label: str, cols: list[str], loss: str = "perceptron", k: int | None = 5,
     epochs: int = 5, c: float = 1.0, penalty: str = "l2", scale: bool = True,
 ) -> DataFrame:
-    """Weights (dataset, outer, label, prep, w) after full-batch epochs.
+    """Weights (dataset, outer, label, preparation, w) after full-batch epochs.
 
     Perceptron adds every misclassified row. Logistic and squared hinge take proximal
     gradient steps on mean loss + penalty / (C n); the bias is not penalized.
@@ -84,18 +90,13 @@ def fit(
 def predict(rows: DataFrame, state: DataFrame, dataset: list[str], cols: list[str], out: str = "prediction") -> DataFrame:
     """Class of the largest score, ties to the smallest label."""
     packed = state.groupBy(*dataset, "outer").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("label").alias("c"), "w"))).alias("_c"), F.first("prep").alias("_prep")
+        F.array_sort(F.collect_list(F.struct("label", "w"))).alias("_c"), *[F.first(f).alias(f"_{f}") for f in ("fill", "shift", "sd")]
     )
-    row = F.create_map(*[v for c in cols for v in (F.lit(c), F.col(c).cast("double"))])
     d = rows.withColumn("outer", F.col("fold") if "fold" in rows.columns else F.lit(gnb.WHOLE)).join(packed, [*dataset, "outer"])
-    x = F.transform("_prep", lambda q: (F.coalesce(F.element_at(row, q["feature"]), q["fill"]) - q["shift"]) / q["sd"])
-    d = d.withColumn("_x", F.concat(F.array(F.lit(1.0)), x))
-    score = lambda m: F.struct(
-        F.aggregate(F.zip_with("_x", m["w"], lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v).alias("s"), m["c"].alias("label")
-    )
-    d = d.withColumn("_s", F.transform("_c", score))
-    best = F.aggregate("_s", F.col("_s")[0], lambda b, c: F.when(c["s"] > b["s"], c).otherwise(b))
-    return d.withColumn(out, best["label"]).drop("_x", "_s", "_c", "_prep", "outer")
+    xs = [f"_x{j}" for j in range(len(cols))]
+    d = d.withColumns(dict(zip(xs, gnb.prepared(cols, F.col("_fill"), F.col("_shift"), F.col("_sd")))))
+    d = d.withColumn("_s", F.transform("_c", lambda m: F.struct(_score(m["w"], xs).alias("s"), m["label"].alias("label"))))
+    return d.withColumn(out, gnb.best_label(F.col("_s"))).drop("_s", "_c", "_fill", "_shift", "_sd", "outer", *xs)
 
 
 def ridge(rows: DataFrame, groups: list[str], x: str, y: str, alpha: float) -> DataFrame:

@@ -14,6 +14,7 @@ from perfgrid.plans import views as V
 from perfgrid.plans.q_metrics import BER_TERM, CONFUSION_SQL, FOLD_ERR
 from perfgrid.plans.q_prep import NUM
 from perfgrid.plans.registry import query
+from perfgrid.session import cut
 
 KS = [1, 3, 5, 7, 9, 11, 13, 15]
 EMB_FOLDS = """ef AS (SELECT row_id, x, label, (row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', '7', row_id)), row_id) - 1) % 5 AS fold FROM emb)"""
@@ -73,16 +74,14 @@ SELECT dataset_id, c AS label, round(w0 + u0, 4) + 0.0 AS bias, {", ".join(f"rou
 def perceptron_epoch(spark, d):
     """Weights of all one-vs-rest perceptrons after two full-batch epochs."""
     s = linear.fit(V.cls(spark, d), ["dataset_id"], "label", NUM, "perceptron", k=None, epochs=2)
-    s = s.withColumn("f", F.transform("prep", lambda q: q["feature"]))
-    at = lambda c: F.get("w", F.array_position("f", F.lit(c)).cast("int"))
     r4 = lambda c: F.round(c, 4) + 0.0
-    return s.select("dataset_id", "label", r4(F.col("w")[0]).alias("bias"), *[r4(at(c)).alias(c) for c in NUM])
+    return s.select("dataset_id", "label", r4(F.col("w")[0]).alias("bias"), *[r4(F.col("w")[j + 1]).alias(c) for j, c in enumerate(NUM)])
 
 
 @query("cv_logistic")
 def cv_logistic(spark, d):
     """All datasets, folds and classes of a logistic model trained together."""
-    rows = V.cls_folds(spark, d)
+    rows = cut(V.cls_folds(spark, d))
     s = linear.fit(rows, ["dataset_id"], "label", NUM, "logistic", epochs=3)
     pred = linear.predict(rows, s, ["dataset_id"], NUM)
     return mean_fold_error(M.ber(pred, ["dataset_id", "fold"], out="error"), ["dataset_id"])
@@ -136,7 +135,7 @@ def adaboost(spark, d):
 @query("perf_table", None)
 def perf_table(spark, d):
     """Error and cost of every (dataset, config) of the naive Bayes family, all in one job."""
-    rows = stratified_folds(V.miss(spark, d), "dataset_id", "label", "rk", V.TIES)
+    rows = cut(stratified_folds(V.miss(spark, d), "dataset_id", "label", "rk", V.TIES))
     return cv.perf_table(rows, ["dataset_id"], "label", [*NUM, "x_empty"], cv.FAMILY)
 
 

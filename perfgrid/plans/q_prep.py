@@ -159,9 +159,7 @@ FROM l JOIN e USING (dataset_id) JOIN p USING (dataset_id, label) GROUP BY 1, 2,
 def gnb_fit(spark, d):
     m = gnb.fit(V.cls(spark, d), ["dataset_id"], "label", NUM, k=None)
     c = m.select("dataset_id", "prep", F.explode("classes").alias("c"))
-    t = c.withColumn("prior", F.col("c.prior"))
-    t = t.select("dataset_id", F.col("c.label").alias("label"), "prior", F.explode(F.arrays_zip(
-        F.transform("prep", lambda q: q["feature"]).alias("feature"), F.col("c.mean").alias("mean"), F.col("c.var").alias("var"))).alias("z"))
+    t = c.select("dataset_id", "c.label", "c.prior", F.explode("c.p").alias("z"))
     return t.select("dataset_id", "label", "z.feature", r6("z.mean").alias("mean"), r6(F.sqrt("z.var")).alias("sd"), r6("prior").alias("prior"))
 
 

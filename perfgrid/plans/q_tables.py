@@ -132,7 +132,7 @@ def merge_rows(spark, d):
     cells = cut(X.parse_results(texts))
     early = cells.filter(F.col("dataset_id") < "00050")
     empty = spark.createDataFrame([], X.RESULT)
-    return _merged(X.merge_rows(X.merge_rows(empty, early), cells))
+    return _merged(X.merge_rows(cut(X.merge_rows(empty, early)), cells))
 
 
 @query("stream_merge", MERGE_SQL)

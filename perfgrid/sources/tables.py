@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from perfgrid.functions.scalars import first_integer, stem
+from perfgrid.operators.ranking import with_constants
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -106,7 +107,7 @@ def merge_rows(merged: DataFrame, arrived: DataFrame) -> DataFrame:
     first merge, of the widest arrival), no missing cell, and is not merged yet.
     """
     heads = merged.select("config").distinct()
-    first = arrived.select("config").distinct().join(heads.groupBy().agg(F.count(F.lit(1)).alias("_h")).filter("_h = 0"))
+    first = with_constants(arrived.select("config").distinct(), heads.groupBy().agg(F.count(F.lit(1)).alias("_h"))).filter("_h = 0")
     want = heads.unionByName(first.select("config"))
     n = want.groupBy().agg(F.count(F.lit(1)).alias("_want"))
     known = arrived.join(want.withColumn("_known", F.lit(1)), "config", "left")
@@ -114,7 +115,7 @@ def merge_rows(merged: DataFrame, arrived: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("_all"),
         F.sum(F.when((F.col("_known") == 1) & F.col("error").isNotNull() & F.col("runtime").isNotNull(), 1).otherwise(0)).alias("_good"),
     )
-    fresh = state.join(n, (F.col("_all") == F.col("_want")) & (F.col("_good") == F.col("_want"))).select("dataset_id")
+    fresh = with_constants(state, n).filter("_all = _want and _good = _want").select("dataset_id")
     fresh = fresh.join(merged.select("dataset_id").distinct(), "dataset_id", "left_anti")
     return merged.unionByName(arrived.join(fresh, "dataset_id", "left_semi").select(*merged.columns))
 
