@@ -8,11 +8,13 @@ in closed form, so further preparations cost no further scan of the rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perfgrid.operators import prep
+from perfgrid.session import broadcast_checked, cut
 
 SMOOTHING = 1e-9
 WHOLE = -1
@@ -119,9 +121,30 @@ def prepared(cols: list[str], fill: Column, shift: Column, sd: Column) -> list[C
     return [(F.coalesce(F.col(c).cast("double"), F.get(fill, F.lit(j))) - F.get(shift, F.lit(j))) / F.get(sd, F.lit(j)) for j, c in enumerate(cols)]
 
 
-def best_label(scores: Column) -> Column:
-    """Label of the largest score; scores come in label order, so ties go to the smallest."""
-    return F.aggregate(scores, scores[0], lambda b, c: F.when(c["s"] > b["s"], c).otherwise(b))["label"]
+def best_label(classes: str, n_classes: int, score: Callable[[Column], Column]) -> Column:
+    """Label of the largest score; classes are in label order, so ties go to the smallest.
+
+    The scores of the n_classes possible classes are plain expressions (generated
+    code); positions beyond a row's own classes are NULL and never win.
+    """
+    at = [F.get(classes, F.lit(i)) for i in range(n_classes)]
+    scores = [score(c) for c in at]
+    top = F.greatest(*scores) if n_classes > 1 else scores[0]
+    out = None
+    for s, c in zip(scores, at):
+        out = F.when(s == top, c["label"]) if out is None else out.when(s == top, c["label"])
+    return out
+
+
+def join_models(df: DataFrame, ready: DataFrame, keys: list[str], width: int) -> tuple[DataFrame, int]:
+    """Rows with their models, and the largest number of classes of any model.
+
+    Models are few next to rows: counted, they are broadcast when they fit, so that
+    rows (and a dataset holding most of them) are not shuffled at all.
+    """
+    ready = cut(ready)
+    n = ready.agg(F.max(F.size("_classes"))).first()[0] or 1
+    return df.join(broadcast_checked(ready, 16 * (width + 2) * (2 * n + 3)), keys), n
 
 
 def predict(df: DataFrame, model: DataFrame, dataset: list[str], cols: list[str], out: str = "prediction") -> DataFrame:
@@ -140,16 +163,15 @@ def predict(df: DataFrame, model: DataFrame, dataset: list[str], cols: list[str]
         .drop("prep", "classes")
     )
     d = df.withColumn("outer", F.col("fold")) if "fold" in df.columns else df.withColumn("outer", F.lit(WHOLE))
-    d = d.join(ready, [*dataset, "outer"])
+    d, n_classes = join_models(d, ready, [*dataset, "outer"], len(cols))
     xs = [f"_x{j}" for j in range(len(cols))]
     d = d.withColumns(dict(zip(xs, prepared(cols, F.col("_fill"), F.col("_shift"), F.col("_sd")))))
 
-    def score(c):
+    def score(c: Column) -> Column:
         total = c["base"]
         for j, x in enumerate(xs):
             gap = F.col(x) - F.get(c["m"], F.lit(j))
             total = total + gap * gap * F.get(c["a"], F.lit(j))
-        return F.struct(total.alias("s"), c["label"].alias("label"))
+        return total
 
-    d = d.withColumn("_s", F.transform("_classes", score))
-    return d.withColumn(out, best_label(F.col("_s"))).drop("_s", "_classes", "_fill", "_shift", "_sd", "outer", *xs)
+    return d.withColumn(out, best_label("_classes", n_classes, score)).drop("_classes", "_fill", "_shift", "_sd", "outer", *xs)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from perfgrid.operators import gnb
-from perfgrid.session import cut
+from perfgrid.session import broadcast_checked, cut
 
 
 def _start(rows: DataFrame, dataset: list[str], label: str, cols: list[str], k: int | None, scale: bool) -> DataFrame:
@@ -49,6 +49,7 @@ def epoch_sums(rows: DataFrame, state: DataFrame, dataset: list[str], label: str
     packed = state.groupBy(*dataset).agg(F.collect_list(model).alias("_models"))
     fold = F.col("fold") if "fold" in rows.columns else F.lit(-2)
     d = rows.select(*dataset, F.col(label).alias("_y"), fold.alias("_f"), *cols)
+    packed = broadcast_checked(cut(packed), 4096)
     d = d.join(packed, dataset).withColumn("m", F.explode("_models")).filter("m.outer <> _f").drop("_models")
     xs = [f"_x{j}" for j in range(len(cols))]
     d = d.withColumns(dict(zip(xs, gnb.prepared(cols, F.col("m.fill"), F.col("m.shift"), F.col("m.sd")))))
@@ -90,13 +91,14 @@ def fit(
 def predict(rows: DataFrame, state: DataFrame, dataset: list[str], cols: list[str], out: str = "prediction") -> DataFrame:
     """Class of the largest score, ties to the smallest label."""
     packed = state.groupBy(*dataset, "outer").agg(
-        F.array_sort(F.collect_list(F.struct("label", "w"))).alias("_c"), *[F.first(f).alias(f"_{f}") for f in ("fill", "shift", "sd")]
+        F.array_sort(F.collect_list(F.struct("label", "w"))).alias("_classes"), *[F.first(f).alias(f"_{f}") for f in ("fill", "shift", "sd")]
     )
-    d = rows.withColumn("outer", F.col("fold") if "fold" in rows.columns else F.lit(gnb.WHOLE)).join(packed, [*dataset, "outer"])
+    d = rows.withColumn("outer", F.col("fold") if "fold" in rows.columns else F.lit(gnb.WHOLE))
+    d, n = gnb.join_models(d, packed, [*dataset, "outer"], len(cols))
     xs = [f"_x{j}" for j in range(len(cols))]
     d = d.withColumns(dict(zip(xs, gnb.prepared(cols, F.col("_fill"), F.col("_shift"), F.col("_sd")))))
-    d = d.withColumn("_s", F.transform("_c", lambda m: F.struct(_score(m["w"], xs).alias("s"), m["label"].alias("label"))))
-    return d.withColumn(out, gnb.best_label(F.col("_s"))).drop("_s", "_c", "_fill", "_shift", "_sd", "outer", *xs)
+    label = gnb.best_label("_classes", n, lambda m: _score(m["w"], xs))
+    return d.withColumn(out, label).drop("_classes", "_fill", "_shift", "_sd", "outer", *xs)
 
 
 def ridge(rows: DataFrame, groups: list[str], x: str, y: str, alpha: float) -> DataFrame:

@@ -81,7 +81,7 @@ def perceptron_epoch(spark, d):
 @query("cv_logistic")
 def cv_logistic(spark, d):
     """All datasets, folds and classes of a logistic model trained together."""
-    rows = cut(V.cls_folds(spark, d))
+    rows = cut(V.cls_folds(spark, d), wide=True)
     s = linear.fit(rows, ["dataset_id"], "label", NUM, "logistic", epochs=3)
     pred = linear.predict(rows, s, ["dataset_id"], NUM)
     return mean_fold_error(M.ber(pred, ["dataset_id", "fold"], out="error"), ["dataset_id"])
@@ -135,7 +135,7 @@ def adaboost(spark, d):
 @query("perf_table", None)
 def perf_table(spark, d):
     """Error and cost of every (dataset, config) of the naive Bayes family, all in one job."""
-    rows = cut(stratified_folds(V.miss(spark, d), "dataset_id", "label", "rk", V.TIES))
+    rows = cut(stratified_folds(V.miss(spark, d), "dataset_id", "label", "rk", V.TIES), wide=True)
     return cv.perf_table(rows, ["dataset_id"], "label", [*NUM, "x_empty"], cv.FAMILY)
 
 

@@ -11,6 +11,7 @@ from perfgrid.operators import prep as P
 from perfgrid.operators.select import mean_fold_error
 from perfgrid.plans import views as V
 from perfgrid.plans.registry import query
+from perfgrid.session import cut
 
 ROW = ["dataset_id", "row_id"]
 FILL = {
@@ -197,13 +198,13 @@ CV_MEAN = "SELECT dataset_id, round(avg(e), 6) AS cv_error, count(*) AS n_folds
 
 @query("gnb_predict", V.ctes(V.CLS, V.FOLDS, gnb_sql("folds")) + "SELECT dataset_id, row_id, prediction FROM pr")
 def gnb_predict(spark, d):
-    rows = V.cls_folds(spark, d)
+    rows = cut(V.cls_folds(spark, d), wide=True)
     return gnb.predict(rows, gnb.fit(rows, ["dataset_id"], "label", NUM), ["dataset_id"], NUM).select(*ROW, "prediction")
 
 
 @query("cv_gnb", V.ctes(V.CLS, V.FOLDS, gnb_sql("folds"), CV_BER) + CV_MEAN)
 def cv_gnb(spark, d):
-    rows = V.cls_folds(spark, d)
+    rows = cut(V.cls_folds(spark, d), wide=True)
     pred = gnb.predict(rows, gnb.fit(rows, ["dataset_id"], "label", NUM), ["dataset_id"], NUM)
     return mean_fold_error(M.ber(pred, ["dataset_id", "fold"], out="error"), ["dataset_id"])
 
@@ -216,7 +217,7 @@ def cv_prepared(spark, d):
     """Mean imputation and scaling refitted on the training rows of every fold."""
     from perfgrid.operators.splits import stratified_folds
 
-    rows = stratified_folds(V.miss(spark, d), "dataset_id", "label", "rk", V.TIES)
+    rows = cut(stratified_folds(V.miss(spark, d), "dataset_id", "label", "rk", V.TIES), wide=True)
     cols = [*NUM, "x_empty"]
     pred = gnb.predict(rows, gnb.fit(rows, ["dataset_id"], "label", cols, scale=True), ["dataset_id"], cols)
     return mean_fold_error(M.ber(pred, ["dataset_id", "fold"], out="error"), ["dataset_id"])

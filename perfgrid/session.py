@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
@@ -44,12 +45,29 @@ def shared_dir(spark: SparkSession) -> str:
     return chosen
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives lost executors and has no lineage."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, wide: bool = False) -> DataFrame:
+    """Reliable checkpoint: the result survives lost executors and has no lineage.
+
+    ``wide`` keeps the partition count of the last shuffle, for rows that feed much
+    heavier steps than the shuffle which made them.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(merge)
+    if wide:
+        spark.conf.set(merge, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(merge, before)
+
+
+def broadcast_checked(df: DataFrame, row_bytes: int, limit: int = 64 << 20) -> DataFrame:
+    """Broadcast hint for a materialized table whose counted rows fit the limit; a
+    longer one is joined by shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
 def partitions(spark: SparkSession) -> int:
