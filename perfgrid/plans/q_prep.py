@@ -164,11 +164,11 @@ def gnb_fit(spark, d):
     return t.select("dataset_id", "label", "z.feature", r6("z.mean").alias("mean"), r6(F.sqrt("z.var")).alias("sd"), r6("prior").alias("prior"))
 
 
-def gnb_sql(src: str, fill: bool = False, scale: bool = False, outer: bool = True) -> str:
+def gnb_sql(src: str, fill: bool = False, scale: bool = False, agg: str = "avg({c})") -> str:
     """CTEs scoring every row of ``src`` (with fold) by the model of the other folds."""
     cols = NUM
     x = lambda c: f"coalesce({c}, f_{c})" if fill else c
-    fills = ", ".join(f"avg({c}) AS f_{c}" for c in cols)
+    fills = ", ".join(f"{agg.format(c=c)} AS f_{c}" for c in cols)
     z = lambda c: f"(({x(c)}) - a_{c}) / CASE WHEN d_{c} > 0 THEN d_{c} ELSE 1 END" if scale else x(c)
     over = ", ".join(f"avg({x(c)}) AS a_{c}, stddev_pop({x(c)}) AS d_{c}" for c in cols)
     eps = "greatest(" + ", ".join(f"var_pop({z(c)})" for c in cols) + ")"
