@@ -82,21 +82,22 @@ def reduced(stats: DataFrame, keys: list[str], reducer: str | None | Column, k:
 def models(stats: DataFrame, keys: list[str]) -> DataFrame:
     """One row per (dataset, outer): feature preparation and class parameters.
 
-    Variances get 1e-9 of the largest feature variance. Both arrays are as long as
+    Variances get 1e-9 of the largest feature variance; when no feature varies at
+    all, only the class shares decide. Both arrays are as long as
     the feature list and the class list.
     """
     groups = [*keys, "outer"]
     w = Window.partitionBy(*groups)
     d = stats.withColumn("_eps", F.max("total_var").over(w) * SMOOTHING)
     wide = F.col("var") + F.col("_eps")
-    part = F.struct("feature", "mean", wide.alias("var"), (F.lit(-0.5) / wide).alias("half"))
+    part = F.struct("feature", "mean", wide.alias("var"), F.coalesce(F.try_divide(F.lit(-0.5), wide), F.lit(0.0)).alias("half"))
     prep_part = F.struct("feature", "fill", "shift", "sd")
     per_class = d.groupBy(*groups, "label").agg(
         F.max("n_all").alias("n"), F.array_sort(F.collect_list(part)).alias("p"), F.array_sort(F.collect_list(prep_part)).alias("q")
     )
     total = F.sum("n").over(w)
     per_class = per_class.withColumn("prior", F.col("n") / total).withColumn("_prior", F.log("prior"))
-    const = F.aggregate("p", F.lit(0.0), lambda s, x: s - F.lit(0.5) * F.log(F.lit(2 * math.pi) * x["var"]))
+    const = F.aggregate("p", F.lit(0.0), lambda s, x: s - F.lit(0.5) * F.coalesce(F.log(F.lit(2 * math.pi) * x["var"]), F.lit(0.0)))
     cls = F.struct(F.col("label"), (F.col("_prior") + const).alias("base"), "p", "prior")
     return per_class.groupBy(*groups).agg(F.array_sort(F.collect_list(cls)).alias("classes"), F.first("q").alias("prep"))
 

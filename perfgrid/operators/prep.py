@@ -181,6 +181,7 @@ def anova_f_of(stats: DataFrame, groups: list[str]) -> DataFrame:
     between, within = F.sum(F.col("n") * gap * gap), F.sum(F.col("n") * F.col("var"))
     classes, rows = F.count(F.lit(1)), F.max("_t")
     f = F.try_divide(F.try_divide(between, classes - 1), F.try_divide(within, rows - classes))
+    f = F.when((within == 0) & (between > 0), F.lit(float("inf"))).otherwise(f)  # perfect separation ranks first
     return d.groupBy(*groups, "feature").agg(f.alias("f"))
 
 
