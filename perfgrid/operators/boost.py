@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from perfgrid.operators.prep import to_long
 from perfgrid.operators.ranking import prefix_sums
-from perfgrid.session import cut
+from perfgrid.session import broadcast_checked, cut
+
+MAX_CLASSES = 1000
 
 
 def best_stumps(weighted: DataFrame, dataset: list[str], label: str, cols: list[str], weight: str) -> DataFrame:
@@ -17,7 +19,9 @@ def best_stumps(weighted: DataFrame, dataset: list[str], label: str, cols: list[
     ordered; running class weights come from range-partitioned prefix sums.
     Ties go to the smaller feature name, then the smaller threshold.
     """
-    values = [r[0] for r in weighted.select(label).distinct().sort(label).collect()]  # one row per class
+    values = sorted(r[0] for r in weighted.select(label).distinct().limit(MAX_CLASSES + 1).collect())
+    if len(values) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
     per_class = [f"_w{i}" for i in range(len(values))]
     long = to_long(weighted.select(*dataset, label, weight, *[F.col(c).cast("double").alias(c) for c in cols]), [*dataset, label, weight], cols)
     cells = long.groupBy(*dataset, "feature", "value").agg(
@@ -80,7 +84,7 @@ def adaboost(rows: DataFrame, dataset: list[str], label: str, cols: list[str], n
             miss = F.aggregate(
                 "stumps", F.lit(0.0), lambda s, t: s + F.when(_leaf_of(t, _row_map(cols)) != F.col(label), t["alpha"]).otherwise(F.lit(0.0))
             )
-            weighted = rows.join(stumps, dataset).withColumn("_w", F.exp(miss)).drop("stumps")
+            weighted = rows.join(broadcast_checked(stumps, 256 * (i + 1)), dataset).withColumn("_w", F.exp(miss)).drop("stumps")
         new = best_stumps(weighted, dataset, label, cols, "_w").join(classes, dataset)
         new = new.withColumn("alpha", alpha(F.col("error"), F.col("n_classes").cast("double"), rate)).filter("alpha > 0")
         one = new.select(*dataset, F.array(F.struct("feature", "threshold", "low", "high", "alpha", "error")).alias("stump"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perfgrid.operators.ranking import grouped_mode, grouped_quantile
+from perfgrid.session import attach
 
 
 def to_long(df: DataFrame, keys: list[str], cols: list[str], value: str = "value") -> DataFrame:
@@ -75,14 +76,14 @@ def as_map(stats: DataFrame, groups: list[str], value: Column, name: str) -> Dat
 def impute(df: DataFrame, groups: list[str], cols: list[str], strategy: str, constant: float = 0.0) -> DataFrame:
     """Fills missing numbers per group; columns without any value stay NULL unless constant."""
     fills = as_map(fill_values(df, groups, cols, strategy, constant), groups, F.col("fill"), "_fill")
-    out = df.join(fills, groups, "left")
+    out = attach(df, fills, groups, 64 * (len(cols) + 1), "left")
     return out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col("_fill")[c]) for c in cols}).drop("_fill")
 
 
 def impute_category(df: DataFrame, groups: list[str], cols: list[str]) -> DataFrame:
     """Fills missing categories with the group's most frequent one."""
     for c in cols:
-        df = df.join(grouped_mode(df, groups, c, "_m"), groups, "left").withColumn(c, F.coalesce(c, "_m")).drop("_m")
+        df = attach(df, grouped_mode(df, groups, c, "_m"), groups, 128, "left").withColumn(c, F.coalesce(c, "_m")).drop("_m")
     return df
 
 
@@ -131,7 +132,7 @@ def standardize(df: DataFrame, groups: list[str], cols: list[str]) -> DataFrame:
     """Mean 0 and population variance 1 per group."""
     stats = scaling(moments(df, groups, cols))
     m = as_map(stats, groups, F.struct("mean", "sd"), "_scale")
-    out = df.join(m, groups)
+    out = attach(df, m, groups, 96 * (len(cols) + 1))
     return out.withColumns({c: (F.col(c) - F.col("_scale")[c]["mean"]) / F.col("_scale")[c]["sd"] for c in cols}).drop("_scale")
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from perfgrid.session import cut, partitions
+from perfgrid.session import attach, cut, partitions
 
 
 def _digits(df: DataFrame) -> int:
@@ -73,7 +73,7 @@ def grouped_quantile(
     d = df.filter(F.col(value).isNotNull())
     lo_hi = F.percentile_approx(value, F.array(F.lit(max(0.0, q - slack)), F.lit(min(1.0, q + slack))), accuracy)
     sketch = d.groupBy(*groups).agg(lo_hi.alias("_b"), F.count(F.lit(1)).alias("_total"))
-    joined = d.join(sketch, groups) if groups else with_constants(d, sketch)
+    joined = attach(d, sketch, groups, 128) if groups else with_constants(d, sketch)
     lo, hi = F.col("_b")[0], F.col("_b")[1]
     inside = (
         joined.filter(F.col(value) <= F.when(F.lit(q) + slack >= 1.0, F.col(value)).otherwise(hi))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from perfgrid.operators.ranking import hash_rank
+from perfgrid.session import attach
 
 
 def stratified_folds(
@@ -40,7 +41,7 @@ def stratified_sample(
     target = float(int(min(ceiling, ratio * n_features)))
     large = (F.col("_n") > min_rows) & (F.col("_n") / F.lit(n_features) > ratio)
     keep = F.when(large, F.rint(F.lit(target) / F.col("_n") * F.col("_nc"))).otherwise(F.col("_nc").cast("double"))
-    return ranked.join(sizes, dataset).filter(F.col("_r") <= keep).drop("_r", "_nc", "_n")
+    return attach(ranked, sizes, [dataset], 64).filter(F.col("_r") <= keep).drop("_r", "_nc", "_n")
 
 
 def _train_quota(counts: DataFrame, dataset: list[str], label: str, test_share: float) -> DataFrame:
@@ -67,7 +68,7 @@ def holdout(
     """85/15 split per dataset, stratified unless some class is too small for it."""
     counts = df.groupBy(*dataset, label).agg(F.count(F.lit(1)).alias("_nc"))
     quota = _train_quota(counts, dataset, label, test_share)
-    tagged = df.join(quota, [*dataset, label]).withColumn("_stratum", F.when(F.col("_ok"), F.col(label).cast("string")).otherwise("*"))
+    tagged = attach(df, quota, [*dataset, label], 128).withColumn("_stratum", F.when(F.col("_ok"), F.col(label).cast("string")).otherwise("*"))
     ranked = hash_rank(tagged, [*dataset, "_stratum"], order, ties, rank="_r")
     limit = F.when(F.col("_ok"), F.col("_quota")).otherwise(F.col("_train"))
     return ranked.withColumn(out, F.when(F.col("_r") <= limit, "train").otherwise("test")).drop(

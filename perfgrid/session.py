@@ -33,10 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
     Only when the cluster names none and the session is local does a fresh
     temporary folder stand in.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     chosen = getattr(shared_dir, "_local", None)
     if chosen is None:
@@ -70,6 +71,13 @@ def broadcast_checked(df: DataFrame, row_bytes: int, limit: int = 64 << 20) -> D
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def attach(df: DataFrame, stats: DataFrame, keys: list[str], row_bytes: int, how: str = "inner") -> DataFrame:
+    """Joins grouped statistics to rows. The statistics are materialized and, when
+    their counted size allows, broadcast: rows are then not shuffled by group, so a
+    group that holds most of them stays spread out."""
+    return df.join(broadcast_checked(cut(stats), row_bytes), keys, how)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
