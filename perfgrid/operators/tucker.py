@@ -20,6 +20,7 @@ from perfgrid.operators.lowrank import MAX_SIDE, _eigen, approx_rank, gram_matri
 from perfgrid.session import partitions
 
 MAX_FACTOR = 4_000_000  # numbers in all factor matrices together (32 MB), shipped to every task
+MAX_CONTRACTION = 16_000_000  # numbers in one mode's contraction (128 MB), held by a task and the driver
 
 
 @dataclass
@@ -57,8 +58,13 @@ def mode_product(coo: DataFrame, mode: int, matrix: DataFrame, rank: int, n_mode
 
 
 def _check(sizes: list[int], ranks: list[int]) -> None:
+    """Factor matrices are shipped to tasks and contractions summed per task: both
+    are sized before any job starts."""
     if sum(n * r for n, r in zip(sizes, ranks)) > MAX_FACTOR:
         raise ValueError("factor matrices exceed the shipping bound; split the longest mode or lower its rank")
+    core = int(np.prod(ranks))
+    if max(n * core // r for n, r in zip(sizes, ranks) if r < n or n == max(sizes)) > MAX_CONTRACTION:
+        raise ValueError("a contraction exceeds the task bound; split the longest mode or lower the ranks")
 
 
 def _values(pdf: pd.DataFrame, n_modes: int, t: Tucker | None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
