@@ -157,7 +157,7 @@ def read_ids(manifest: DataFrame) -> DataFrame:
 
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     m = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
-    return m.repartition("file").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return m.repartition(max(1, m.count())).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 @query("op5_packed_ids")

@@ -109,6 +109,9 @@ def near_vectors(vectors: DataFrame, threshold: float, tile_rows: int = 4096) ->
         some = (links > 0) | (root != rep)
         return pa.table({"rep": rep[some], "links": links[some].astype(np.int64), "root": root[some]})
 
+    n = F.col("blocks").cast("long")
+    tasks = blocks.agg(F.sum(n * (n + 1) / 2)).first()[0] or 1
+    tiles = tiles.repartition(int(min(tasks, 10_000)), "label", "dim", "i", "j")  # tiles are few bytes and much work: not to be merged
     found = table(tiles.groupBy("label", "dim", "i", "j").applyInArrow(tile, "rep long, links long, root long"), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
