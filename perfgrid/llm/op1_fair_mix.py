@@ -19,16 +19,17 @@ from pyspark.sql import functions as F
 
 from perfgrid.llm.common import load, query, table
 from perfgrid.operators.ranking import prefix_sums
+from perfgrid.session import broadcast_checked
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 
 
-def sized(docs: DataFrame, seed: str = "mix") -> DataFrame:
+def sized(docs: DataFrame, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
     """(_row, doc_id, source, size, _h): what the queue needs, without texts."""
     key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":" + seed))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.md5(key).alias("_h"))
+    return docs.select("_row", *keep, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.md5(key).alias("_h"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3) -> DataFrame:
@@ -69,6 +70,31 @@ def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3) -> D
     return out.join(taken, "_row", "left").withColumn("copies", F.coalesce("copies", F.lit(0)))
 
 
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3) -> DataFrame:
+    """The documents that the mix takes, once for each time, with the columns they have."""
+
+    def key(of: str):
+        return F.xxhash64(F.col(f"{of}.doc_id").cast("long"), F.col(f"{of}.source").cast("string"), F.col(f"{of}.text").cast("string"))
+
+    keyed = docs.alias("d").select("d.doc_id", "d.source", "d.text", key("d").alias("_key")).withColumn("_row", F.monotonically_increasing_id())
+    sizes = table(sized(keyed, keep=("_key",)), "sizes")
+    mixed = mix(sizes, weights, cap)
+    taken = mixed.groupBy(F.col("doc_id").alias("_id"), "_key").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")).filter("copies > 0")
+    taken = broadcast_checked(table(taken, "taken"), 56)
+    same = (key("d") == F.col("k._key")) & F.col("d.doc_id").eqNullSafe(F.col("k._id"))
+    columns = [F.col(f"d.`{c}`") for c in docs.columns]
+
+    def times(rows: DataFrame) -> DataFrame:
+        out = rows.alias("d").join(taken.alias("k"), same).select(*columns, F.explode(F.sequence(F.lit(1), F.col("k.copies").cast("int"))).alias("__pass"))
+        return out.drop("__pass")
+
+    twice = taken.filter("n > 1")
+    if twice.isEmpty():
+        return times(docs)
+    once = docs.alias("d").join(twice.alias("k"), same, "left_semi").dropDuplicates(["doc_id", "source", "text"])
+    return times(docs.alias("d").join(twice.alias("k"), same, "left_anti").unionByName(once))
+
+
 SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
                   md5(coalesce(doc_id::VARCHAR, '') || ':mix') AS h FROM documents),

@@ -162,7 +162,22 @@ def near_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     member = member.withColumn("node", F.coalesce("rep", "_row")).join(comp, "node", "left").withColumn("_c", F.coalesce("component", "node"))
     member = table(member.select("doc_id", "_key", "n_shingles", "_c"), "members")
     names = member.groupBy("_c").agg(F.min("doc_id").alias("component_id"))
-    return member.join(names, "_c").select("doc_id", "n_shingles", "component_id", "_key")
+    return member.join(names, "_c").select("doc_id", "n_shingles", "component_id", "_key", "_c")
+
+
+def without_near(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """Documents of which one of each group stays, that of the smallest doc_id; columns as they are.
+    Wordless texts all stay."""
+    groups = table(near_components(docs, words, percent), "groups")
+    kept = groups.groupBy("_c").agg(F.min(F.struct("doc_id", "_key")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._key").alias("_key")).distinct()
+    key = F.xxhash64(F.col("d.doc_id").cast("long"), F.col("d.text").cast("string"))
+    same = (key == F.col("k._key")) & F.col("d.doc_id").eqNullSafe(F.col("k._id"))
+    left = docs.alias("d").join(broadcast_checked(table(kept, "kept"), 40).alias("k"), same, "left_semi")
+    twice = table(groups.filter("n_shingles > 0").groupBy(F.col("doc_id").alias("_id"), "_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "twice")
+    if twice.isEmpty():
+        return left
+    hint = broadcast_checked(twice, 40).alias("k")  # rows given several times are one document
+    return left.alias("d").join(hint, same, "left_anti").unionByName(left.alias("d").join(hint, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def _sets(keyed: DataFrame, met: DataFrame, words: int) -> DataFrame:
