@@ -302,21 +302,22 @@ def removed_spans(docs: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
         by_hash = np.argsort(v["h"], kind="stable")
         h = v["h"][by_hash]
         same = h[1:] == h[:-1]
-        several = by_hash[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+        several = by_hash[(np.concatenate([same, [False]]) | np.concatenate([[False], same]))[: len(h)]]
         v = {k: x[several] for k, x in v.items() if k != "doc"}
         order = np.lexsort((v["x"], v["keys"], v["ids"], v["c"], v["h"]))
         v = {k: x[order] for k, x in v.items()}
         same = v["h"][1:] == v["h"][:-1]
-        again = np.concatenate([[False], same & (v["c"][1:] == v["c"][:-1])])
-        same_doc = np.concatenate([[False], (v["ids"][1:] == v["ids"][:-1]) & (v["keys"][1:] == v["keys"][:-1]) & (v["x"][1:] == v["x"][:-1])])
+        n = len(v["x"])
+        again = np.concatenate([[False], same & (v["c"][1:] == v["c"][:-1])])[:n]
+        same_doc = np.concatenate([[False], (v["ids"][1:] == v["ids"][:-1]) & (v["keys"][1:] == v["keys"][:-1]) & (v["x"][1:] == v["x"][:-1])])[:n]
         later = again & ~same_doc  # a row given twice is one document here
         x, most, least = v["x"].astype(np.int64), v["y"].astype(np.int64) >> 8, v["y"].astype(np.int64) & 255
         number = np.arange(len(x))
         rows = blobs(SPAN, bucket(v["keys"][later], parts), v["ids"], v["keys"], number[later], (x - most)[later], (x - least + span)[later])
-        start = np.concatenate([[True], ~same]) if len(x) else np.zeros(0, bool)
+        start = np.concatenate([[True], ~same])[:n]
         group = np.cumsum(start) - 1
         kinds = np.bincount(group[~again], minlength=len(start))
-        want = ~again & (kinds[group] > 1) if len(x) else again
+        want = ~again & (kinds[group] > 1) if n else again
         rows += blobs(WANTED, bucket(v["keys"][want], parts), v["ids"], v["keys"], number[want], x[want], v["y"][want], v["h"][want])
         return pa.Table.from_batches([batch_of(rows)])
 
@@ -360,7 +361,7 @@ def removed_spans(docs: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
         v = unblob(t, 2 * span - GRAM)
         order = np.lexsort((v["x"], v["keys"], v["ids"]))
         ids, keys, x, y, c = (v[k][order] for k in ("ids", "keys", "x", "y", "c"))
-        twice = np.concatenate([[False], (ids[1:] == ids[:-1]) & (keys[1:] == keys[:-1]) & (x[1:] == x[:-1])])
+        twice = np.concatenate([[False], (ids[1:] == ids[:-1]) & (keys[1:] == keys[:-1]) & (x[1:] == x[:-1])])[: len(x)]
         ids, keys, x, y, c = (k[~twice] for k in (ids, keys, x.astype(np.int64), y.astype(np.int64), c))
         some, least, most = repeated(c, y & 255, y >> 8, span)
         return pa.Table.from_batches([batch_of(blobs(SPAN, bucket(keys[some], parts), ids, keys, some, x[some] - most, x[some] - least + span))])

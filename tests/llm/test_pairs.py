@@ -43,9 +43,9 @@ def odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=8)], int(rng.integers(3))) for i in range(1, 90)]
-    rows += [(100 + i, [1.0, 0.5, 0, 0, 0, 0, 0, i % 3 / 50], 1) for i in range(60)]
+    rows += [(100 + i, [1.0, 0.5, 0.0, 0.0, 0.0, 0.0, 0.0, i % 3 / 50], 1) for i in range(60)]
     rows += [(200, None, 1), (201, [nan] * 8, 1), (202, [inf] + [0.0] * 7, 1), (203, [None] + [1.0] * 7, 1), (204, [0.0] * 8, 1), (205, [1.0] * 8, None), (206, [1.0, 2.0], 1), (207, [], 1)]
-    rows += [(100, [1.0, 0.5, 0, 0, 0, 0, 0, 0.0], 1), (None, [1.0] * 8, 2), (50, [1e30] * 8, 0), (51, [1e-30] * 8, 0)]
+    rows += [(100, [1.0, 0.5, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0], 1), (None, [1.0] * 8, 2), (50, [1e30] * 8, 0), (51, [1e-30] * 8, 0)]
     return rows, spark.createDataFrame(rows, VECTORS)
 
 
