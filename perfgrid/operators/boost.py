@@ -34,6 +34,7 @@ def best_stumps(weighted: DataFrame, dataset: list[str], label: str, cols: list[
     right = [F.col(f"{c}_all") - F.col(f"{c}_upto") for c in per_class]
     d = d.filter(F.col("value") < F.col("_max"))
     d = d.withColumn("_l", sum(left[1:], left[0])).withColumn("_r", sum(right[1:], right[0]))
+    d = d.filter("_l > 0 AND _r > 0")  # weights may vanish
     squares = lambda side: sum((c * c for c in side[1:]), side[0] * side[0])
     impurity = F.col("_l") - squares(left) / F.col("_l") + F.col("_r") - squares(right) / F.col("_r")
     d = d.withColumn("gini", F.round(impurity / (F.col("_l") + F.col("_r")), 12))
@@ -70,12 +71,16 @@ def _row_map(cols: list[str]) -> Column:
 
 
 def adaboost(rows: DataFrame, dataset: list[str], label: str, cols: list[str], n_estimators: int, rate: float = 1.0) -> DataFrame:
-    """Boosted stumps (dataset, stumps array).
+    """Boosted stumps (dataset, stumps array, common label) of every dataset.
 
     No weight is stored per row: each round recomputes it from the stumps so far,
-    which are a short array per dataset.
+    which are a short array per dataset, and divides it by the dataset's largest.
+    Boosting of a dataset ends with the first stump no better than chance; one without
+    any stump, as with a single class, predicts its most common label.
     """
-    classes = rows.groupBy(*dataset).agg(F.count_distinct(label).alias("n_classes"))
+    counts = rows.filter(F.col(label).isNotNull()).groupBy(*dataset, label).agg(F.count(F.lit(1)).alias("_n"))
+    common = F.min_by(label, F.struct(-F.col("_n"), F.col(label))).alias("common")
+    classes = cut(counts.groupBy(*dataset).agg(F.count(F.lit(1)).alias("n_classes"), common))
     stumps = None
     for i in range(n_estimators):
         if stumps is None:
@@ -84,26 +89,29 @@ def adaboost(rows: DataFrame, dataset: list[str], label: str, cols: list[str], n
             miss = F.aggregate(
                 "stumps", F.lit(0.0), lambda s, t: s + F.when(_leaf_of(t, _row_map(cols)) != F.col(label), t["alpha"]).otherwise(F.lit(0.0))
             )
-            weighted = rows.join(broadcast_checked(stumps, 256 * (i + 1)), dataset).withColumn("_w", F.exp(miss)).drop("stumps")
-        new = best_stumps(weighted, dataset, label, cols, "_w").join(classes, dataset)
+            weighted = rows.join(broadcast_checked(stumps.filter("open"), 256 * (i + 1)), dataset).withColumn("_m", miss).drop("stumps", "common", "open")
+            top = weighted.groupBy(*dataset).agg(F.max("_m").alias("_top"))
+            weighted = weighted.join(broadcast_checked(cut(top), 64), dataset).withColumn("_w", F.exp(F.col("_m") - F.col("_top"))).drop("_m", "_top")
+        new = best_stumps(weighted, dataset, label, cols, "_w").join(classes.drop("common"), dataset)
         new = new.withColumn("alpha", alpha(F.col("error"), F.col("n_classes").cast("double"), rate)).filter("alpha > 0")
         one = new.select(*dataset, F.array(F.struct("feature", "threshold", "low", "high", "alpha", "error")).alias("stump"))
-        if stumps is None:
-            stumps = one.withColumnRenamed("stump", "stumps")
-        else:
-            grown = F.concat("stumps", F.coalesce("stump", F.slice("stumps", 1, 0)))
-            stumps = stumps.join(one, dataset, "left").select(*dataset, grown.alias("stumps"))
-        stumps = cut(stumps)
+        before = classes.select(*dataset, "common") if stumps is None else stumps
+        so_far = F.slice("stump", 1, 0) if stumps is None else F.col("stumps")
+        grown = F.when(F.col("stump").isNull(), so_far).otherwise(F.col("stump") if stumps is None else F.concat("stumps", "stump"))
+        stumps = before.join(one, dataset, "left").select(*dataset, grown.alias("stumps"), "common", F.col("stump").isNotNull().alias("open"))
+        stumps = cut(stumps.withColumn("stumps", F.coalesce("stumps", F.array().cast(one.schema["stump"].dataType))))
+        if stumps.filter("open").isEmpty():
+            break
     return stumps
 
 
 def predict(rows: DataFrame, stumps: DataFrame, dataset: list[str], cols: list[str], out: str = "prediction") -> DataFrame:
     """Class with the largest summed say, ties to the smallest label."""
-    d = rows.join(stumps, dataset)
+    d = rows.join(broadcast_checked(stumps, 4096), dataset)
     said = F.transform("stumps", lambda t: F.struct(_leaf_of(t, _row_map(cols)).alias("c"), t["alpha"].alias("a")))
     d = d.withColumn("_said", said)
     names = F.array_sort(F.array_distinct(F.transform("_said", lambda t: t["c"])))
     score = lambda v: F.aggregate("_said", F.lit(0.0), lambda s, t: s + F.when(t["c"] == v, t["a"]).otherwise(F.lit(0.0)))
     d = d.withColumn("_scores", F.transform(names, lambda v: F.struct(score(v).alias("s"), v.alias("c"))))
-    best = F.aggregate("_scores", F.col("_scores")[0], lambda b, c: F.when(c["s"] > b["s"], c).otherwise(b))
-    return d.withColumn(out, best["c"]).drop("_said", "_scores", "stumps")
+    best = F.aggregate("_scores", F.get("_scores", F.lit(0)), lambda b, c: F.when(c["s"] > b["s"], c).otherwise(b))
+    return d.withColumn(out, F.coalesce(best["c"], F.col("common"))).drop("_said", "_scores", "stumps", "common", "open")

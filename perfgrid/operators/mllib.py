@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEED = 0
+MOST_STEPS = 1000  # solvers stop by their tolerance; this only ends one that does not converge
 
 
 def _leaf_rows(text: str, n_rows: int) -> int:
@@ -37,23 +38,23 @@ def _leaf_rows(text: str, n_rows: int) -> int:
 
 
 def _tree(h: dict, n: int, **kw) -> dict:
-    return dict(minInstancesPerNode=_leaf_rows(h.get("min_samples_split", "2"), n), maxDepth=kw.pop("depth", 12), seed=SEED, **kw)
+    return dict(minInstancesPerNode=_leaf_rows(h.get("min_samples_split", "2"), n), maxDepth=int(h.get("max_depth", 30)), seed=SEED, **kw)
 
 
 def learner(algorithm: str, h: dict, n_rows: int, n_features: int, n_classes: int) -> Estimator:
     """Estimator on (features, label) for one config of the grid."""
     if algorithm == "Logit":
         c = float(h.get("C", 1))
-        return LogisticRegression(regParam=1 / (c * n_rows), elasticNetParam=1.0 if h.get("penalty") == "l1" else 0.0, maxIter=100)
+        return LogisticRegression(regParam=1 / (c * n_rows), elasticNetParam=1.0 if h.get("penalty") == "l1" else 0.0, standardization=False, maxIter=MOST_STEPS, tol=1e-8)
     if algorithm == "lSVM":  # hinge instead of squared hinge
-        return OneVsRest(classifier=LinearSVC(regParam=1 / (float(h.get("C", 1)) * n_rows), maxIter=50))
+        return OneVsRest(classifier=LinearSVC(regParam=1 / (float(h.get("C", 1)) * n_rows), standardization=False, maxIter=MOST_STEPS, tol=1e-6))
     if algorithm == "DT":
         return DecisionTreeClassifier(**_tree(h, n_rows))
     if algorithm == "RF":
         return RandomForestClassifier(impurity=h.get("criterion", "gini"), numTrees=int(h.get("n_trees", 100)), **_tree(h, n_rows))
     if algorithm == "ExtraTrees":  # few bins and no bootstrap stand in for random thresholds
         return RandomForestClassifier(
-            impurity=h.get("criterion", "gini"), numTrees=int(h.get("n_trees", 100)), bootstrap=False, maxBins=8, **_tree(h, n_rows)
+            impurity=h.get("criterion", "gini"), numTrees=int(h.get("n_trees", 100)), bootstrap=False, maxBins=int(h.get("max_bins", 32)), **_tree(h, n_rows)
         )
     if algorithm == "GBT":  # binary learner, one against the rest
         subset = "log2" if h.get("max_features") == "log2" else "all"
@@ -65,15 +66,25 @@ def learner(algorithm: str, h: dict, n_rows: int, n_features: int, n_classes: in
     if algorithm == "MLP":  # no adam and no weight penalty
         solver = "gd" if h.get("solver") == "sgd" else "l-bfgs"
         return MultilayerPerceptronClassifier(
-            layers=[n_features, 100, n_classes], solver=solver, stepSize=float(h.get("learning_rate_init", 0.001)), maxIter=int(h.get("max_iter", 100)), seed=SEED
+            layers=[n_features, 100, n_classes], solver=solver, stepSize=float(h.get("learning_rate_init", 0.001)), maxIter=int(h.get("max_iter", 200)), seed=SEED
         )
     raise ValueError(f"no estimator for {algorithm}")
 
 
-def regressor(algorithm: str, alpha: float = 1.0, l1_ratio: float = 0.5) -> Estimator:
-    """Penalized linear regression on (features, label)."""
-    mix = {"Lasso": 1.0, "Ridge": 0.0, "ElasticNet": l1_ratio}[algorithm]
-    return LinearRegression(regParam=alpha, elasticNetParam=mix, standardization=False, maxIter=200)
+def regressor(algorithm: str, alpha: float, n_rows: int, label_sd: float, l1_ratio: float = 0.5) -> Estimator:
+    """Penalized linear regression on (features, label), with penalties as usually defined: lasso and elastic
+    net beside half the mean squared error, ridge beside the sum of squares.
+
+    Spark ML fits the label divided by its (population) deviation, which leaves the absolute penalty as it is
+    and divides the squared one by the deviation; ``label_sd`` takes that back.
+    """
+    if algorithm == "Ridge":
+        first, second = 0.0, alpha / max(1, n_rows)
+    else:
+        share = {"Lasso": 1.0, "ElasticNet": l1_ratio}[algorithm]
+        first, second = alpha * share, alpha * (1 - share)
+    weight = first + second * label_sd
+    return LinearRegression(regParam=weight, elasticNetParam=first / weight if weight else 0.0, standardization=False, maxIter=MOST_STEPS, tol=1e-12)
 
 
 def preparation(config: dict, numeric: list[str], categorical: list[str], n_rows: int, folds: int = 5) -> list[Estimator]:

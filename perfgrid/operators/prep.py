@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perfgrid.operators.ranking import grouped_mode, grouped_quantile
-from perfgrid.session import attach
+from perfgrid.session import attach, cut
 
 
 def to_long(df: DataFrame, keys: list[str], cols: list[str], value: str = "value") -> DataFrame:
@@ -113,7 +113,7 @@ def one_hot_index(df: DataFrame, col: str) -> DataFrame:
     """Sparse form for any number of categories: position of the single 1, joined
     from a distributed, sorted category table; NULL for unknown ones."""
     levels = df.filter(F.col(col).isNotNull()).select(col).distinct()
-    ranged = levels.repartitionByRange(col).sortWithinPartitions(col).withColumn("_p", F.spark_partition_id())
+    ranged = cut(levels.repartitionByRange(col).sortWithinPartitions(col).withColumn("_p", F.spark_partition_id()))  # bounds are drawn once
     ranged = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(col)))
     per = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition

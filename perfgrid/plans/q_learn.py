@@ -125,9 +125,9 @@ def ada_round1(spark, d):
 
 @query("adaboost")
 def adaboost(spark, d):
-    """Three boosting rounds on every dataset and the training error of the vote."""
+    """Ten boosting rounds on every dataset and the training error of the vote."""
     rows = V.cls(spark, d)
-    s = boost.adaboost(rows, ["dataset_id"], "label", NUM, 3)
+    s = boost.adaboost(rows, ["dataset_id"], "label", NUM, 10)
     pred = boost.predict(rows, s, ["dataset_id"], NUM)
     return M.ber(pred, ["dataset_id"]).join(s.select("dataset_id", F.size("stumps").alias("n_stumps")), "dataset_id")
 

@@ -41,10 +41,10 @@ def _learn(algorithm: str, hyperparameters: dict, **steps):
 query("logistic")(_learn("Logit", {"C": "1", "penalty": "l2"}))
 query("linear_svm")(_learn("lSVM", {"C": "1"}))
 query("decision_tree")(_learn("DT", {"min_samples_split": "8"}))
-query("random_forest")(_learn("RF", {"min_samples_split": "0.01", "criterion": "entropy", "n_trees": "20"}))
-query("extra_trees")(_learn("ExtraTrees", {"min_samples_split": "4", "criterion": "gini", "n_trees": "20"}))
-query("gradient_boosting")(_learn("GBT", {"learning_rate": "0.1", "max_depth": "3", "n_estimators": "10"}))
-query("mlp")(_learn("MLP", {"learning_rate_init": "0.01", "solver": "adam", "max_iter": "30"}))
+query("random_forest")(_learn("RF", {"min_samples_split": "0.01", "criterion": "entropy"}))
+query("extra_trees")(_learn("ExtraTrees", {"min_samples_split": "4", "criterion": "gini"}))
+query("gradient_boosting")(_learn("GBT", {"learning_rate": "0.1", "max_depth": "3", "n_estimators": "50"}))
+query("mlp")(_learn("MLP", {"learning_rate_init": "0.01", "solver": "adam"}))
 query("prep_fit_predict")(
     _learn(
         "Logit", {"C": "2", "penalty": "l1"}, imputer={"algorithm": "SimpleImputer", "hyperparameters": {"strategy": "median"}},
@@ -53,20 +53,45 @@ query("prep_fit_predict")(
 )
 
 
+def _ridge_sql(alpha: float) -> str:
+    """Normal equations of three centred features by Cramer's rule."""
+    x = ["l_quantity", "l_discount", "l_tax"]
+    sums = [f"covar_pop({a}, {b}) * count(*) AS s{i}{j}" for i, a in enumerate(x) for j, b in enumerate(x) if i <= j]
+    sums += [f"covar_pop({a}, l_extendedprice) * count(*) AS t{i}" for i, a in enumerate(x)] + [f"avg({a}) AS m{i}" for i, a in enumerate(x)]
+
+    def cell(i: int, j: int, col: int | None) -> str:
+        if col == j:
+            return f"t{i}"
+        return f"(s{min(i, j)}{max(i, j)} + {alpha if i == j else 0})"
+
+    def det(col: int | None) -> str:
+        a = [[cell(i, j, col) for j in range(3)] for i in range(3)]
+        minor = lambda p, q: f"({a[1][p]} * {a[2][q]} - {a[1][q]} * {a[2][p]})"
+        return f"({a[0][0]} * {minor(1, 2)} - {a[0][1]} * {minor(0, 2)} + {a[0][2]} * {minor(0, 1)})"
+
+    terms = " UNION ALL ".join(f"SELECT '{n}' AS term, round(b{i}, 2) AS coefficient FROM b" for i, n in enumerate(x))
+    return (
+        f"WITH m AS (SELECT {', '.join(sums)}, avg(l_extendedprice) AS my FROM lineitem), "
+        f"b AS (SELECT *, {', '.join(f'{det(i)} / {det(None)} AS b{i}' for i in range(3))} FROM m) "
+        f"{terms} UNION ALL SELECT 'intercept', round(my - b0 * m0 - b1 * m1 - b2 * m2, 2) FROM b"
+    )
+
+
 def _regress(algorithm: str, alpha: float):
     def run(spark, d):
         rows = V.table(spark, d, "lineitem").select("l_quantity", "l_discount", "l_tax", F.col("l_extendedprice").alias("label"))
         x = VectorAssembler(inputCols=["l_quantity", "l_discount", "l_tax"], outputCol="features").transform(rows)
-        m = mllib.regressor(algorithm, alpha).fit(x)
+        n, sd = rows.agg(F.count(F.lit(1)), F.stddev_pop("label")).first()
+        m = mllib.regressor(algorithm, alpha, n, sd).fit(x)
         names = ["intercept", "l_quantity", "l_discount", "l_tax"]
         values = [float(m.intercept), *[float(v) for v in m.coefficients]]
-        return spark.createDataFrame(list(zip(names, values)), "term string, coefficient double")
+        return spark.createDataFrame([(n, round(v, 2)) for n, v in zip(names, values)], "term string, coefficient double")
 
     return run
 
 
 query("lasso")(_regress("Lasso", 10.0))
-query("ridge")(_regress("Ridge", 10.0))
+query("ridge", _ridge_sql(10.0))(_regress("Ridge", 10.0))
 query("elastic_net")(_regress("ElasticNet", 10.0))
 
 

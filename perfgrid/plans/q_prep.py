@@ -68,10 +68,10 @@ def one_hot(spark, d):
     return P.one_hot(V.miss(spark, d).select(*ROW, "l_linestatus", "l_quantity"), ["l_linestatus"])
 
 
-@query("one_hot_index", V.ctes(V.DOCS) + """, u AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS i FROM (SELECT DISTINCT source FROM docs))
-SELECT doc_id, source, CAST(i AS BIGINT) AS source_index FROM docs JOIN u USING (source)""")
+@query("one_hot_index", """WITH u AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS i FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL))
+SELECT doc_id, source, CAST(i AS BIGINT) AS source_index FROM documents LEFT JOIN u USING (source)""")
 def one_hot_index(spark, d):
-    t = P.one_hot_index(V.docs(spark, d).select("doc_id", "source"), "source")
+    t = P.one_hot_index(V.table(spark, d, "documents").select("doc_id", "source"), "source")
     return t.select("doc_id", "source", F.col("source_index").cast("bigint").alias("source_index"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from perfgrid.functions.scalars import first_integer, stem
 from perfgrid.operators.ranking import with_constants
+from perfgrid.session import broadcast_checked, cut
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -100,24 +101,45 @@ def read_result_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
-def merge_rows(merged: DataFrame, arrived: DataFrame) -> DataFrame:
-    """Adds newly arrived complete datasets to the merged long table.
-
-    A dataset joins when it has every heading of the merged table (or, for the
-    first merge, of the widest arrival), no missing cell, and is not merged yet.
-    """
-    heads = merged.select("config").distinct()
-    first = with_constants(arrived.select("config").distinct(), heads.groupBy().agg(F.count(F.lit(1)).alias("_h"))).filter("_h = 0")
-    want = heads.unionByName(first.select("config"))
+def merge_status(done: DataFrame, arrived: DataFrame, headings: DataFrame) -> DataFrame:
+    """(dataset_id, status) of arrived datasets: ``known`` when merged before, ``headings`` when
+    theirs are not exactly the table's, ``conflict`` when two files of one dataset differ, ``missing``
+    when a cell is empty, else ``new``. The order of arrival plays no part."""
+    want = headings.select("config").distinct()
     n = want.groupBy().agg(F.count(F.lit(1)).alias("_want"))
-    known = arrived.join(want.withColumn("_known", F.lit(1)), "config", "left")
+    known = arrived.distinct().join(want.withColumn("_known", F.lit(1)), "config", "left")
     state = known.groupBy("dataset_id").agg(
-        F.count(F.lit(1)).alias("_all"),
-        F.sum(F.when((F.col("_known") == 1) & F.col("error").isNotNull() & F.col("runtime").isNotNull(), 1).otherwise(0)).alias("_good"),
+        F.count(F.lit(1)).alias("_rows"),
+        F.count_distinct("config").alias("_heads"),
+        F.count_distinct(F.when(F.col("_known") == 1, F.col("config"))).alias("_fit"),
+        F.sum(F.when(F.col("error").isNotNull() & F.col("runtime").isNotNull(), 0).otherwise(1)).alias("_empty"),
+    )
+    before = done.select("dataset_id").distinct().withColumn("_before", F.lit(1))
+    state = with_constants(state, n).join(before, "dataset_id", "left")
+    status = (
+        F.when(F.col("_before") == 1, "known")
+        .when((F.col("_heads") != F.col("_want")) | (F.col("_fit") != F.col("_want")), "headings")
+        .when(F.col("_rows") > F.col("_heads"), "conflict")
+        .when(F.col("_empty") > 0, "missing")
+        .otherwise("new")
     )
-    fresh = with_constants(state, n).filter("_all = _want and _good = _want").select("dataset_id")
-    fresh = fresh.join(merged.select("dataset_id").distinct(), "dataset_id", "left_anti")
-    return merged.unionByName(arrived.join(fresh, "dataset_id", "left_semi").select(*merged.columns))
+    return state.select("dataset_id", status.alias("status"))
+
+
+def first_headings(arrived: DataFrame) -> DataFrame:
+    """Headings of the smallest dataset id, for a table that has none yet."""
+    least = arrived.groupBy().agg(F.min("dataset_id").alias("dataset_id"))
+    return arrived.join(F.broadcast(least), "dataset_id", "left_semi").select("config").distinct()
+
+
+def merge_rows(merged: DataFrame, arrived: DataFrame, headings: DataFrame | None = None) -> DataFrame:
+    """Adds newly arrived complete datasets to the merged long table. Headings are those given,
+    else those of the merged table, else those of the smallest arrived dataset id; ``merge_status``
+    tells why a dataset stayed out."""
+    if headings is None:
+        headings = first_headings(arrived) if merged.isEmpty() else merged.select("config").distinct()
+    fresh = merge_status(merged, arrived, headings).filter("status = 'new'")
+    return merged.unionByName(arrived.distinct().join(fresh, "dataset_id", "left_semi").select(*merged.columns))
 
 
 def aligned_check(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -148,7 +170,7 @@ def missing_cells(present: DataFrame, axes: dict[str, int] | list[DataFrame], ke
     """Cells of the index grid that have no row.
 
     ``axes`` is either {key: size} for 0-based indices, exploded from a range, or a
-    list of one-column tables, all but the first checked to be short.
+    list of one-column tables of any length: every cell is listed to be compared.
     """
     if isinstance(axes, dict):
         (first, n), *rest = axes.items()
@@ -158,14 +180,5 @@ def missing_cells(present: DataFrame, axes: dict[str, int] | list[DataFrame], ke
     else:
         grid = axes[0]
         for a in axes[1:]:
-            grid = grid.join(F.broadcast(bounded(a)))
+            grid = grid.crossJoin(broadcast_checked(cut(a), 64))
     return grid.join(present.select(*keys), keys, "left_anti")
-
-
-def bounded(axis: DataFrame, limit: int = 100_000) -> DataFrame:
-    """The axis itself after a check that it is short enough to broadcast."""
-    n = axis.limit(limit + 1).count()
-    if n > limit:
-        raise ValueError(f"axis has more than {limit} entries; put it first so that it is not broadcast")
-    return axis
-
