@@ -7,11 +7,10 @@ bands agree. ``collections`` is the least number that misses a pair at the thres
 chance below ``miss``.
 
 Documents with one set are one class. Bands met by one class only are dropped before keys are
-formed. Rounds then compare the members of each bucket with one leader, drawn anew each
-round, and join what is linked; members already in the leader's component are skipped. What is
-left, pairs that share a table and are in different components, is compared pair by pair,
-each met once, at the first band it shares. No bucket is capped and none is expanded while
-its members are known to be together. Every link is confirmed on full sets.
+formed. Each member of a bucket is compared with the bucket's leader, and what is linked is joined.
+What is left, pairs that share a table and are in different components, is compared in
+blocks: classes that buckets connect form a cluster, and tasks take two blocks of a cluster. No bucket
+is capped and none is expanded into its pairs. Every link is confirmed on full sets.
 
 Nulls: a NULL or wordless text has an empty set and is linked with nothing. A NULL doc_id takes
 part; a component's id is its smallest doc_id. Repeated rows are copies. Fewer words than a
@@ -134,28 +133,13 @@ def near_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     tables = table(met.select("rep", F.explode(later).alias("t")).select("rep", F.xxhash64("t.pair", "t.g").alias("t")), "tables")
     lone = tables.groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("t")
     tables = table(tables.join(lone, "t"), "tables")
-    links, comp = None, None
-    for turn in range(3):
-        order = F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")
-        here = tables if comp is None else tables.join(comp, tables["rep"] == comp["node"], "left").select("t", "rep", F.coalesce("component", "rep").alias("c"))
-        leaders = here.groupBy("t").agg(F.min_by("rep", order).alias("a"), *([] if comp is None else [F.min_by("c", order).alias("ac"), F.min("c").alias("lo"), F.max("c").alias("hi")]))
-        if comp is None:
-            pairs = here.join(leaders, "t").filter("rep <> a")
-        else:
-            pairs = here.join(leaders.filter("lo <> hi"), "t").filter("c <> ac")
-        pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
-        new = _confirm(pairs, sets, percent)
-        links = new if links is None else links.unionByName(new)
-        comp = table(components(links), "components")
-    known = met.select("rep", "met", "n_shingles").join(comp, met["rep"] == comp["node"], "left").select("rep", "met", "n_shingles", F.coalesce("component", "rep").alias("c"))
-    open_ = tables.join(known.select("rep", "c"), "rep").groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("t")
-    still = table(tables.join(open_, "t").select("rep").distinct().join(known, "rep"), "open")
-    rows = still.select("rep", "n_shingles", "c", "met", F.explode("met").alias("m")).select("*", "m.band", "m.g").drop("m")
-    x, y = rows.alias("x"), rows.alias("y")
-    sizes = f"100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles)"
-    once = "x.rep < y.rep AND x.c <> y.c AND size(array_intersect(x.met, y.met)) > 1 AND array_intersect(x.met, y.met)[0].band = x.band"
-    rest = x.join(y, F.expr(f"x.band = y.band AND x.g = y.g AND {sizes} AND {once}")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    links = links.unionByName(_confirm(rest, sets, percent))
+    leaders = tables.groupBy("t").agg(F.min("rep").alias("a"))
+    pairs = table(tables.join(leaders, "t").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
+    links = _confirm(pairs, sets, percent)
+    comp, cluster = table(components(links), "components"), components(pairs)
+    known = met.select("rep", "met").join(cluster.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep")
+    known = known.join(comp.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+    links = links.unionByName(_rest(table(known, "clusters"), sets, bands, percent))
     comp = components(links)
 
     member = signed.select("_row", "doc_id", "_key", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left")
@@ -193,12 +177,62 @@ def _sets(keyed: DataFrame, met: DataFrame, words: int) -> DataFrame:
     return table(found.mapInArrow(build, "rep long, set binary").dropDuplicates(["rep"]), "sets")
 
 
+def _rest(known: DataFrame, sets: DataFrame, bands: int, percent: int, rows: int = 512, size: int = 8 << 20) -> DataFrame:
+    """Links (a, b) between different components of a cluster. A cluster is dealt to blocks of about
+    ``rows`` sets or ``size`` bytes; a task has two blocks and looks at the pairs that share a table."""
+    open_ = known.groupBy("cluster").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("cluster")
+    some = table(known.join(open_, "cluster").join(sets, "rep"), "open")
+    n = F.ceil(F.greatest(F.count(F.lit(1)) / rows, F.sum(F.length("set")) / size)).cast("int").alias("blocks")
+    blocks = table(some.groupBy("cluster").agg(n), "blocks")
+    dealt = some.join(blocks, "cluster").withColumn("_b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = dealt.select("cluster", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), "_b", "rep", "c", "met", "set")
+    tasks = blocks.agg(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2)).first()[0] or 1
+
+    def tile(t: pa.Table) -> pa.Table:
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        rep, comp, block = (t.column(k).to_numpy() for k in ("rep", "c", "_b"))
+        found = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+        band, here = np.zeros((len(rep), bands), np.int64), np.zeros((len(rep), bands), bool)
+        for k, m in enumerate(t.column("met").to_pylist()):
+            for x in m:
+                band[k, x["band"]], here[k, x["band"]] = x["g"], True
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        length = np.array([len(x) for x in found])
+        joined: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in joined:
+                x = joined[x]
+            return x
+
+        out = []
+        for at in range(0, len(left), 64):
+            u = left[at : at + 64]
+            agree = np.zeros((len(u), len(right)), np.int16)
+            for k in range(bands):
+                agree += (band[u, k][:, None] == band[right, k]) & here[u, k][:, None] & here[right, k]
+            low, high = np.minimum(length[u][:, None], length[right]), np.maximum(length[u][:, None], length[right])
+            open_pairs = (agree > 1) & (comp[u][:, None] != comp[right]) & (100 * low >= percent * high)
+            if i == j:
+                open_pairs &= u[:, None] < right
+            for x, y in zip(*np.nonzero(open_pairs)):
+                p, q = u[x], right[y]
+                cp, cq = top(int(comp[p])), top(int(comp[q]))
+                if cp != cq and near(found[p], found[q], percent):
+                    joined[cp] = cq
+                    out.append((int(rep[p]), int(rep[q])))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    tiles = tiles.repartition(int(min(tasks, 10_000)), "cluster", "i", "j")
+    return table(tiles.groupBy("cluster", "i", "j").applyInArrow(tile, "a long, b long"), "links")
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, group: int = 512) -> DataFrame:
     """Pairs (a, b) whose full sets are near. Pairs are grouped by ``a``, at most about ``group`` in
     a task's group, so the set of ``a`` is sent once for each and that of ``b`` once a pair."""
-    salted = table(pairs.select("a", "b"), "pairs")
-    many = salted.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("n"))
-    dealt = salted.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("n")).cast("int").alias("salt"))
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("n"))
+    dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("n")).cast("int").alias("salt"))
     right = dealt.join(sets.withColumnRenamed("rep", "b"), "b")
     left = many.join(sets.withColumnRenamed("rep", "a"), "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     left = left.select(F.col("a").alias("ka"), F.col("salt").alias("ks"), F.col("set").alias("sa"))
