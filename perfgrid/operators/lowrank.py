@@ -1,8 +1,8 @@
 """Low-rank factorization and completion of performance tables.
 
-Tables stay long. The driver sees one m x m second-moment matrix of the shorter
-side (m is checked against MAX_SIDE); beyond that, a randomized range finder keeps
-everything but l x l matrices distributed.
+Tables stay long. The exact method brings one m x m second-moment matrix of the shorter
+side, the configurations as a rule, to the driver. Where that is too long a side, the caller
+chooses the randomized range finder, which keeps everything but l x l matrices distributed.
 """
 
 from __future__ import annotations
@@ -14,10 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perfgrid.operators.ranking import with_constants
-from perfgrid.session import cut, partitions
-
-MAX_SIDE = 2000
+from perfgrid.session import broadcast_checked, cut, partitions
 
 
 def gram(vectors: DataFrame, m: int, x: str = "x") -> DataFrame:
@@ -50,9 +47,7 @@ def gram(vectors: DataFrame, m: int, x: str = "x") -> DataFrame:
 
 
 def gram_matrix(vectors: DataFrame, m: int, x: str = "x") -> np.ndarray:
-    """The second-moment matrix on the driver, at most MAX_SIDE wide."""
-    if m > MAX_SIDE:
-        raise ValueError(f"{m} columns exceed the driver bound of {MAX_SIDE}")
+    """The second-moment matrix on the driver, m x m."""
     out = np.zeros((m, m))
     for r in gram(vectors, m, x).collect():
         out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["value"]
@@ -88,9 +83,8 @@ def approx_rank(sigma: np.ndarray, threshold: float = 0.03) -> int:
 
 
 def _axis(coo: DataFrame, key: str) -> list:
-    """Sorted ids of one axis, or an empty list when it is longer than MAX_SIDE."""
-    ids = [r[0] for r in coo.select(key).distinct().limit(MAX_SIDE + 1).collect()]
-    return sorted(ids) if len(ids) <= MAX_SIDE else []
+    """Sorted ids of the shorter axis."""
+    return sorted(r[0] for r in coo.select(key).distinct().collect())
 
 
 def _side(coo: DataFrame, short: str, long: str, value: str, ids: list) -> np.ndarray:
@@ -113,21 +107,24 @@ def _project(coo: DataFrame, short: str, long: str, value: str, ids: list, v: np
 
 
 def factorize(
-    coo: DataFrame, row: str, col: str, value: str, rank: int | None = None, threshold: float | None = None
+    coo: DataFrame, row: str, col: str, value: str, rank: int | None = None, threshold: float | None = None, exact: bool = True
 ) -> Factors:
     """Truncated SVD of a long table with zeros for absent cells: A ~ X Y with
-    X = U sigma (row table) and Y = V' (column table); zero sigma are dropped."""
+    X = U sigma (row table) and Y = V' (column table); zero sigma are dropped.
+
+    ``exact`` needs the square of the shorter side on the driver. Otherwise block power iteration
+    gives ``rank`` components to an accuracy that grows with the gap behind them.
+    """
     if (rank is None) == (threshold is None):
         raise ValueError("give either rank or threshold")
     spark = coo.sparkSession
-    ids = _axis(coo, col)
-    on_cols = bool(ids)
-    if not ids:
-        ids = _axis(coo, row)
-    if not ids:
+    if not exact:
         if rank is None:
-            raise ValueError("a table longer than the driver bound on both sides needs a rank")
+            raise ValueError("the randomized method needs a rank")
         return _range_finder(coo, row, col, value, rank)
+    sides = coo.agg(F.count_distinct(row).alias("r"), F.count_distinct(col).alias("c")).first()
+    on_cols = sides["c"] <= sides["r"]
+    ids = _axis(coo, col if on_cols else row)
     short, long = (col, row) if on_cols else (row, col)
     sigma, v = _eigen(_side(coo, short, long, value, ids))
     k = rank if rank is not None else approx_rank(sigma, threshold)
@@ -169,10 +166,9 @@ def _range_finder(coo: DataFrame, row: str, col: str, value: str, rank: int, ext
 
 
 def reconstruct(f: Factors, row: str, col: str) -> DataFrame:
-    """Every cell of X Y; the column table is packed into one array per row."""
-    packed = f.cols.groupBy().agg(F.collect_list(F.struct(F.col(col).alias("c"), "y")).alias("_all"))
-    d = with_constants(f.rows, packed).withColumn("m", F.explode("_all"))
-    return d.select(row, F.col("m.c").alias(col), dot("x", "m.y").alias("value"))
+    """Every cell of X Y, row by row; a long column table is not broadcast."""
+    d = f.rows.crossJoin(broadcast_checked(cut(f.cols.select(col, "y")), 256))
+    return d.select(row, col, dot("x", "y").alias("value"))
 
 
 def dot(a, b):
@@ -187,7 +183,7 @@ def row_coefficients(obs: DataFrame, cols: DataFrame, rank: int, max_rank: DataF
     cells than k get the minimum-norm solution. ``max_rank`` (key, k) uses fewer
     components for some rows.
     """
-    d = obs.filter(F.col("error").isNotNull()).join(cols, "config_id")
+    d = obs.filter(F.col("error").isNotNull()).join(broadcast_checked(cut(cols), 256), "config_id")
     if max_rank is not None:
         d = d.join(max_rank.select(key, "k"), key)
         d = d.withColumn("y", F.transform("y", lambda v, i: F.when(i < F.col("k"), v).otherwise(0.0)))
@@ -210,9 +206,8 @@ def row_coefficients(obs: DataFrame, cols: DataFrame, rank: int, max_rank: DataF
 def complete_rows(obs: DataFrame, cols: DataFrame, rank: int, max_rank: DataFrame | None = None, key: str = "dataset_id") -> DataFrame:
     """(key, config_id, predicted) for the whole row of every partially observed dataset."""
     coef = row_coefficients(obs, cols, rank, max_rank, key)
-    packed = cols.groupBy().agg(F.collect_list(F.struct("config_id", "y")).alias("_all"))
-    d = with_constants(coef, packed).withColumn("m", F.explode("_all"))
-    return d.select(key, F.col("m.config_id").alias("config_id"), dot("x", "m.y").alias("predicted"))
+    d = coef.crossJoin(broadcast_checked(cut(cols.select("config_id", "y")), 256))
+    return d.select(key, "config_id", dot("x", "y").alias("predicted"))
 
 
 def pivot_order(g: np.ndarray, k: int) -> list[int]:
@@ -272,7 +267,7 @@ def pca_scores(vectors: DataFrame, x: str, n_components: int) -> tuple[DataFrame
     """Centered projection on the leading components, with the axes and the mean.
 
     Mean and second moments come from one pass; the projection is a literal matrix
-    (components x features, both bounded by MAX_SIDE) applied per row.
+    (components x features) applied per row.
     """
     m = vectors.select(F.size(x).alias("m")).first()["m"]
     one = vectors.withColumn(x, F.concat(F.array(F.lit(1.0)), x))

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perfgrid.operators.lowrank import MAX_SIDE, _eigen, approx_rank, gram_matrix
+from perfgrid.operators.lowrank import _eigen, approx_rank, gram_matrix
 from perfgrid.session import partitions
 
 MAX_FACTOR = 4_000_000  # numbers in all factor matrices together (32 MB), shipped to every task
@@ -156,23 +156,21 @@ def _lead(z: np.ndarray, rank: int) -> np.ndarray:
 
 
 def mode_moment(coo: DataFrame, mode: int, sizes: list[int]) -> np.ndarray:
-    """Second moments of a mode's unfolding; fibres (at most MAX_SIDE long) are
-    gathered by the other indices, so no pairs of cells are ever listed."""
-    if sizes[mode] > MAX_SIDE:
-        raise ValueError(f"mode {mode} is longer than {MAX_SIDE}")
+    """Second moments of a mode's unfolding; fibres are gathered by
+    the other indices, so no pairs of cells are ever listed; the moments are n x n on the driver."""
     j = unfold(coo, mode, sizes)
     fibres = j.groupBy("j").agg(F.map_from_entries(F.collect_list(F.struct(F.col(f"i{mode}").cast("int"), "value"))).alias("x"))
     return gram_matrix(fibres, sizes[mode])
 
 
-def hosvd_factors(coo: DataFrame, sizes: list[int], ranks: list[int], t: Tucker | None = None) -> list[np.ndarray]:
-    """Start: leading vectors of every mode. A mode beyond the driver bound starts
-    from a seeded random orthonormal matrix and is settled by the sweeps."""
+def hosvd_factors(coo: DataFrame, sizes: list[int], ranks: list[int], random_modes: tuple[int, ...] = ()) -> list[np.ndarray]:
+    """Start: leading vectors of every mode. ``random_modes``, chosen by the caller for modes whose moments the
+    driver cannot hold, start from a seeded random orthonormal matrix and are settled by the sweeps."""
     out = []
     for m, r in enumerate(ranks):
         if r >= sizes[m]:
             out.append(np.eye(sizes[m])[:, :r])
-        elif sizes[m] <= MAX_SIDE:
+        elif m not in random_modes:
             out.append(_eigen(mode_moment(coo, m, sizes))[1][:, :r])
         else:
             out.append(np.linalg.qr(np.random.default_rng(m).standard_normal((sizes[m], r)))[0])
@@ -190,11 +188,11 @@ def sweep(coo: DataFrame, sizes: list[int], ranks: list[int], factors: list[np.n
     return Tucker(core.reshape([f.shape[1] for f in factors]), factors)
 
 
-def decompose(coo: DataFrame, sizes: list[int], ranks: list[int], sweeps: int = 2) -> Tucker:
+def decompose(coo: DataFrame, sizes: list[int], ranks: list[int], sweeps: int = 2, random_modes: tuple[int, ...] = ()) -> Tucker:
     """Tucker decomposition with absent cells as zeros: HOSVD start, then sweeps."""
     ranks = [min(r, n) for r, n in zip(ranks, sizes)]
     _check(sizes, ranks)
-    factors = hosvd_factors(coo, sizes, ranks)
+    factors = hosvd_factors(coo, sizes, ranks, random_modes)
     t = None
     for _ in range(max(1, sweeps)):
         t = sweep(coo, sizes, ranks, factors, None)

@@ -11,6 +11,7 @@ from perfgrid.operators import design as D
 from perfgrid.operators import lowrank as L
 from perfgrid.operators import select as S
 from perfgrid.operators import tucker as T
+from perfgrid.operators.ranking import with_constants
 from perfgrid.plans import views as V
 from perfgrid.plans.q_tables import scratch
 from perfgrid.plans.registry import query
@@ -127,7 +128,7 @@ def complete_error_monotone(spark, d):
     e = T.complete(t, V.TENSOR_SIZES, RANKS, max_sweeps=4, tolerance=-1.0).errors
     rows = [(i + 1, bool(i == 0 or e[i] <= e[i - 1] + 1e-9)) for i in range(len(e))]
     n = t.groupBy().agg(F.count(F.lit(1)).alias("n_cells"))
-    return L.with_constants(spark.createDataFrame(rows, "sweep int, ok boolean"), n)
+    return with_constants(spark.createDataFrame(rows, "sweep int, ok boolean"), n)
 
 
 @query("latent_factors", """SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, CASE WHEN i = j THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS product, CAST(900 AS BIGINT) AS n_configs
