@@ -12,7 +12,7 @@ from perfgrid.operators.select import mean_fold_error
 from perfgrid.operators.splits import stratified_folds
 from perfgrid.plans import views as V
 from perfgrid.plans.q_metrics import BER_TERM, CONFUSION_SQL, FOLD_ERR
-from perfgrid.plans.q_prep import CV_BER, MFOLDS, NUM, gnb_sql
+from perfgrid.plans.q_prep import CV_BER, CV_MEAN, MFOLDS, NUM, gnb_sql
 from perfgrid.plans.registry import query
 from perfgrid.session import cut
 
@@ -78,7 +78,33 @@ def perceptron_epoch(spark, d):
     return s.select("dataset_id", "label", r4(F.col("w")[0]).alias("bias"), *[r4(F.col("w")[j + 1]).alias(c) for j, c in enumerate(NUM)])
 
 
-@query("cv_logistic")
+def _logistic_sql(steps: int) -> str:
+    """The same proximal steps, one after the other, for all left-out folds and classes."""
+    rate = 4.0 / (len(NUM) + 1)
+    stats = ", ".join(f"avg({c}) AS a_{c}, stddev_pop({c}) AS d_{c}" for c in NUM)
+    z = ", ".join(f"({c} - a_{c}) / CASE WHEN d_{c} > 0 THEN d_{c} ELSE 1 END AS z_{c}" for c in NUM)
+    score = "b + " + " + ".join(f"w_{c} * z_{c}" for c in NUM)
+    parts = [
+        "tr AS (SELECT * FROM (SELECT *, unnest(range(0, 5)) AS o FROM folds) WHERE fold <> o)",
+        f"st AS (SELECT dataset_id, o, {stats}, count(*) AS nn FROM tr GROUP BY 1, 2)",
+        f"ov AS (SELECT dataset_id, o, nn, c, {z}, CASE WHEN label = c THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS y FROM tr JOIN st USING (dataset_id, o), (SELECT unnest(['A', 'N', 'R']) AS c))",
+        "w0 AS (SELECT DISTINCT dataset_id, o, c, nn, 0.0::DOUBLE AS b, " + ", ".join(f"0.0::DOUBLE AS w_{c}" for c in NUM) + " FROM ov)",
+    ]
+    for i in range(steps):
+        pull = f"y / (1 + exp(y * ({score})))"
+        sums = f"sum({pull}) AS gb, " + ", ".join(f"sum({pull} * z_{c}) AS g_{c}" for c in NUM)
+        new = ", ".join(f"(w_{c} + {rate} * g_{c} / nn) / (1 + {rate} / nn) AS w_{c}" for c in NUM)
+        parts.append(f"g{i} AS (SELECT dataset_id, o, c, {sums} FROM ov JOIN w{i} USING (dataset_id, o, c) GROUP BY 1, 2, 3)")
+        parts.append(f"w{i + 1} AS (SELECT dataset_id, o, c, nn, b + {rate} * gb / nn AS b, {new} FROM w{i} JOIN g{i} USING (dataset_id, o, c))")
+    parts.append(f"rz AS (SELECT dataset_id, fold, row_id, l_quantity AS q, l_extendedprice AS e, label, {z} FROM folds JOIN st ON st.dataset_id = folds.dataset_id AND st.o = folds.fold)".replace("SELECT dataset_id", "SELECT folds.dataset_id"))
+    parts.append(
+        f"pr AS (SELECT r.dataset_id, fold, label, c AS prediction FROM rz r JOIN w{steps} w ON w.dataset_id = r.dataset_id AND w.o = r.fold "
+        f"QUALIFY row_number() OVER (PARTITION BY r.dataset_id, row_id, q, e ORDER BY {score} DESC, c) = 1)"
+    )
+    return V.ctes(V.CLS, V.FOLDS, *parts, CV_BER) + CV_MEAN
+
+
+@query("cv_logistic", _logistic_sql(3))
 def cv_logistic(spark, d):
     """All datasets, folds and classes of a logistic model trained together."""
     rows = cut(V.cls_folds(spark, d), wide=True)
