@@ -7,7 +7,8 @@ anchors are equal, and an anchor is met about once in 39 bytes.
 1. Each anchor is sent to a partition of its hash with a digest of its context, all bytes of the
    windows that it anchors. Of anchors with one context only the first keeps its windows;
    copies inside a batch are settled before the shuffle.
-2. Where one anchor has several contexts, these are fetched once each and their 8-byte words form
+2. Where one anchor has several contexts that agree on the half before or the half after it, as two have to
+   that share a window, these are fetched once each and their 8-byte words form
    strings, rightwards and leftwards. Shards of strings get a Burrows-Wheeler transform each; two
    transforms are merged by refining their interleave word by word, which sorts all suffixes
    by one more word a round and shows, where a block first splits, the common prefix. Merging goes
@@ -210,25 +211,25 @@ def repeated(rows: np.ndarray, least: np.ndarray, most: np.ndarray, span: int) -
     return out, lo[out], hi[out]
 
 
-_COLS = ["ids", "keys", "doc", "x", "y", "h", "c"]
-_TYPES = dict(zip(_COLS, ["<i8", "<i8", "<u4", "<u4", "<u4", "<u4", "<u8"]))
-_SCHEMA = "kind int, part int, ids binary, keys binary, doc binary, x binary, y binary, h binary, c binary"
+_COLS = ["ids", "keys", "doc", "x", "y", "h", "c", "r"]
+_TYPES = dict(zip(_COLS, ["<i8", "<i8", "<u4", "<u4", "<u4", "<u4", "<u8", "<u2"]))
+_SCHEMA = "kind int, part int, ids binary, keys binary, doc binary, x binary, y binary, h binary, c binary, r binary"
 ANCHOR, SPAN, WANTED, BYTES = range(4)
 
 
-def blobs(kind: int, part: np.ndarray, ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, x: np.ndarray, y: np.ndarray, h=None, c=None) -> list[tuple]:
+def blobs(kind: int, part: np.ndarray, ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, x: np.ndarray, y: np.ndarray, h=None, c=None, r=None) -> list[tuple]:
     """One row for each value of ``part``; ``ids`` and ``keys`` are those of the documents that ``doc`` numbers."""
     order, out = np.argsort(part, kind="stable"), []
     edges = np.flatnonzero(np.diff(part[order])) + 1
     for rows in np.split(order, edges) if len(order) else []:
         used, number = np.unique(doc[rows], return_inverse=True)
-        cols = [ids[used], keys[used], number, x[rows], y[rows]] + [b"" if v is None else v[rows] for v in (h, c)]
+        cols = [ids[used], keys[used], number, x[rows], y[rows]] + [b"" if v is None else v[rows] for v in (h, c, r)]
         out.append((kind, int(part[rows[0]]), *[v if isinstance(v, bytes) else v.astype(_TYPES.get(k, v.dtype) if v.ndim == 1 else v.dtype).tobytes() for k, v in zip(_COLS, cols)]))
     return out
 
 
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 7
+    kinds = [pa.int32(), pa.int32()] + [pa.binary()] * len(_COLS)
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["kind", "part", *_COLS])
 
 
@@ -271,6 +272,8 @@ def removed_spans(docs: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     d = d.withColumn("_key", F.xxhash64("doc_id", "text"))
     parts = 4 * max(1, d.rdd.getNumPartitions())
+    gram_at, half = span - GRAM, (span - GRAM + 1) // 2
+    half_left, half_right = gram_at - half, gram_at + GRAM + half
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,16 +285,17 @@ def removed_spans(docs: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
                 rows = contexts(buf[: len(buf) - 32], at, lo, hi, span)
                 left = np.minimum(at - lo, span - GRAM)
                 c = digests(rows, left, np.minimum(hi - at, span), least, most)
-                got.append((at - lo, doc + i, least, most, h >> np.uint64(32), c))
+                near = digests(rows[:, half_left:gram_at]) >> np.uint64(48), digests(rows[:, gram_at:half_right]) >> np.uint64(48)
+                got.append((at - lo, doc + i, least, most, h >> np.uint64(32), c, *near))
             if not got:
                 continue
-            at, doc, least, most, h, c = (np.concatenate(v) for v in zip(*got))
+            at, doc, least, most, h, c, before, after = (np.concatenate(v) for v in zip(*got))
             order = np.lexsort((at, keys[doc], ids[doc], c))
             again = np.zeros(len(at), bool)
             again[order[1:]] = c[order[1:]] == c[order[:-1]]
             rows = blobs(SPAN, bucket(keys[doc[again]], parts), ids, keys, doc[again], (at - most)[again], (at - least + span)[again])
             one = ~again
-            rows += blobs(ANCHOR, (h[one] % np.uint64(parts)).astype(np.int64), ids, keys, doc[one], at[one], (most << 8 | least)[one], h[one], c[one])
+            rows += blobs(ANCHOR, (h[one] % np.uint64(parts)).astype(np.int64), ids, keys, doc[one], at[one], (before.astype(np.int64) << 16 | most << 8 | least)[one], h[one], c[one], after[one])
             if rows:
                 yield batch_of(rows)
 
@@ -311,14 +315,17 @@ def removed_spans(docs: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
         again = np.concatenate([[False], same & (v["c"][1:] == v["c"][:-1])])[:n]
         same_doc = np.concatenate([[False], (v["ids"][1:] == v["ids"][:-1]) & (v["keys"][1:] == v["keys"][:-1]) & (v["x"][1:] == v["x"][:-1])])[:n]
         later = again & ~same_doc  # a row given twice is one document here
-        x, most, least = v["x"].astype(np.int64), v["y"].astype(np.int64) >> 8, v["y"].astype(np.int64) & 255
+        x, y = v["x"].astype(np.int64), v["y"].astype(np.int64)
+        most, least = y >> 8 & 255, y & 255
         number = np.arange(len(x))
         rows = blobs(SPAN, bucket(v["keys"][later], parts), v["ids"], v["keys"], number[later], (x - most)[later], (x - least + span)[later])
-        start = np.concatenate([[True], ~same])[:n]
-        group = np.cumsum(start) - 1
-        kinds = np.bincount(group[~again], minlength=len(start))
-        want = ~again & (kinds[group] > 1) if n else again
-        rows += blobs(WANTED, bucket(v["keys"][want], parts), v["ids"], v["keys"], number[want], x[want], v["y"][want], v["h"][want])
+        group = np.cumsum(np.concatenate([[True], ~same])[:n])
+        first = np.flatnonzero(~again)
+        want = np.zeros(n, bool)
+        for side in (y >> 16, v["r"].astype(np.int64)):  # half of what two contexts have to share, on one side at least
+            _, number_of, times = np.unique(group[first] << 16 | side[first], return_inverse=True, return_counts=True)
+            want[first] |= times[number_of] > 1
+        rows += blobs(WANTED, bucket(v["keys"][want], parts), v["ids"], v["keys"], number[want], x[want], (y & 0xFFFF)[want], v["h"][want])
         return pa.Table.from_batches([batch_of(rows)])
 
     split = table(met.filter(F.col("kind") == ANCHOR).repartition(parts, "part").groupBy("part").applyInArrow(sort_out, _SCHEMA), "contexts")
