@@ -183,11 +183,11 @@ def _rest(known: DataFrame, sets: DataFrame, bands: int, percent: int, rows: int
     open_ = known.groupBy("cluster").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("cluster")
     some = table(known.join(open_, "cluster").join(sets, "rep"), "open")
     n = F.ceil(F.greatest(F.count(F.lit(1)) / rows, F.sum(F.length("set")) / size)).cast("int").alias("blocks")
-    blocks = table(some.groupBy("cluster").agg(n), "blocks")
-    dealt = some.join(blocks, "cluster").withColumn("_b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    blocks = table(some.groupBy("cluster").agg(n, F.count(F.lit(1)).alias("n")), "blocks")
+    dealt = some.join(blocks.drop("n"), "cluster").withColumn("_b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = dealt.select("cluster", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), "_b", "rep", "c", "met", "set")
-    tasks = blocks.agg(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2)).first()[0] or 1
+    dealt_rows = blocks.agg(F.sum(F.col("blocks") * F.col("n"))).first()[0] or 1
 
     def tile(t: pa.Table) -> pa.Table:
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
@@ -224,7 +224,7 @@ def _rest(known: DataFrame, sets: DataFrame, bands: int, percent: int, rows: int
                     out.append((int(rep[p]), int(rep[q])))
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
-    tiles = tiles.repartition(int(min(tasks, 10_000)), "cluster", "i", "j")
+    tiles = tiles.repartition(min(-(-dealt_rows // rows), 100_000), "cluster", "i", "j")
     return table(tiles.groupBy("cluster", "i", "j").applyInArrow(tile, "a long, b long"), "links")
 
 
