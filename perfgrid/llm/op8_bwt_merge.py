@@ -293,7 +293,10 @@ def removed_spans(docs: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
             order = np.lexsort((at, keys[doc], ids[doc], c))
             again = np.zeros(len(at), bool)
             again[order[1:]] = c[order[1:]] == c[order[:-1]]
-            rows = blobs(SPAN, bucket(keys[doc[again]], parts), ids, keys, doc[again], (at - most)[again], (at - least + span)[again])
+            same_doc = np.zeros(len(at), bool)
+            same_doc[order[1:]] = (ids[doc[order[1:]]] == ids[doc[order[:-1]]]) & (keys[doc[order[1:]]] == keys[doc[order[:-1]]]) & (at[order[1:]] == at[order[:-1]])
+            later = again & ~same_doc  # a row given twice is one document here
+            rows = blobs(SPAN, bucket(keys[doc[later]], parts), ids, keys, doc[later], (at - most)[later], (at - least + span)[later])
             one = ~again
             rows += blobs(ANCHOR, (h[one] % np.uint64(parts)).astype(np.int64), ids, keys, doc[one], at[one], (before.astype(np.int64) << 16 | most << 8 | least)[one], h[one], c[one], after[one])
             if rows:
