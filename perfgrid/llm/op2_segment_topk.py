@@ -100,7 +100,7 @@ def search(q: np.ndarray, q_rows: np.ndarray, c: np.ndarray, c_ids: np.ndarray,
 
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
 def top_products(vectors: DataFrame, is_query, k: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
