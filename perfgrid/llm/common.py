@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Callable
+import weakref
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +51,61 @@ def table(df: DataFrame, what: str = "table") -> DataFrame:
     spark, path = df.sparkSession, new_folder(df.sparkSession, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Cache(dict):
+    """What a Python worker remembers between the tasks of one operator: ``make(key)`` for short keys, at most
+    about ``limit`` bytes. Longer keys are made anew each time. Emptied when the worker turns to
+    another operator."""
+
+    def __init__(self, owner: str, make: Callable, limit: int = 16 << 20, longest: int = 64):
+        super().__init__()
+        self.make, self.limit, self.longest, self.used = make, limit, longest, 0
+        me = weakref.ref(self)
+        at_leaving(owner, lambda: me() is not None and me().drop())
+
+    def drop(self) -> None:
+        self.clear()
+        self.used = 0
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(key) <= self.longest:
+            self.used += 200 + 2 * len(key)
+            if self.used > self.limit:
+                self.drop()
+            self[key] = value
+        return value
+
+
+_HELD: dict[str, list[Callable[[], None]]] = {}
+_NOW: list[str] = []
+
+
+def at_leaving(owner: str, drop: Callable[[], None]) -> None:
+    """Registers what a worker forgets when it leaves the operator ``owner``."""
+    _HELD.setdefault(owner, []).append(drop)
+
+
+def enter(owner: str) -> None:
+    """Called at the start of a task: drops what other operators left in this worker and gives free
+    memory back."""
+    if _NOW == [owner]:
+        return
+    _NOW[:] = [owner]
+    for name, drops in _HELD.items():
+        if name != owner:
+            for drop in drops:
+                drop()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
+def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, so that only few texts are Python strings at a time."""
+    for a in range(0, batch.num_rows, rows):
+        yield batch.slice(a, rows)

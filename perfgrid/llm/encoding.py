@@ -14,6 +14,8 @@ import re
 
 import numpy as np
 
+from perfgrid.llm.common import Cache, at_leaving, enter
+
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKS = r"!-&(-/:-@\[-`{-~"
 _PLAIN = re.compile(rf"[ \n0-9{_LETTERS}{_MARKS}]*")
@@ -31,18 +33,19 @@ def byte_letters() -> dict[int, str]:
 
 
 class TextEncoder:
-    """``ids(text)`` equals ``Tokenizer.encode(text, add_special_tokens=False).ids``, with the
-    strings of special tokens read as ordinary text."""
+    """``ids(text)`` equals ``Tokenizer.encode(text, add_special_tokens=False).ids`` of the tokenizer as it is
+    loaded. Texts that hold the string of an added token are encoded whole. About ``keep`` bytes of
+    parts and as many of words are remembered."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 24 << 20):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [t.content.lower() for t in self.tok.get_added_tokens_decoder().values()]
         self.model = self.tok.model
         self.size = self.tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.keep, self.parts, self.words = keep, {}, {}
+        self.parts, self.words = (Cache("encode", f, keep) for f in (self._part, self._word))
         spec = json.loads(self.tok.to_str())
         pre, norm = spec["pre_tokenizer"] or {}, spec["normalizer"]
         led = norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
@@ -59,50 +62,41 @@ class TextEncoder:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def _word(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            if word.isascii():
-                spelled = word.translate(self._ascii)
-            else:
-                spelled = "".join([self._letters[b] for b in word.encode()])
-            got = np.array([t.id for t in self.model.tokenize(spelled)], dtype=self.dtype).tobytes()
-            if len(self.words) >= self.keep:
-                self.words.clear()
-            self.words[word] = got
-        return got
+        if word.isascii():
+            spelled = word.translate(self._ascii)
+        else:
+            spelled = "".join([self._letters[b] for b in word.encode()])
+        return np.array([t.id for t in self.model.tokenize(spelled)], dtype=self.dtype).tobytes()
 
     def _part(self, part: str) -> bytes:
         if _PLAIN.fullmatch(part):
             words = _LED.findall(part) if self.mode == "led" else _FREE.findall(part.lower())
-            return self._word(words[0]) if len(words) == 1 else b"".join([self._word(w) for w in words])
+            return b"".join([self.words[w] for w in words])
         return self._whole(part)
 
     def raw(self, text: str) -> bytes:
         """Ids as little-endian bytes of ``dtype``."""
         if self.mode is None or _DOUBLE.search(text):
             return self._whole(text)
+        low = text.lower()
+        if any(t in low for t in self.added):
+            return self._whole(text)
         parts = text.split(" ")
         if self.mode == "led":
             parts = [parts[0], *[" " + p for p in parts[1:]]]
-        known = self.parts
-        new = [p for p in set(parts) if p not in known]
-        if new:
-            if len(known) + len(new) > self.keep:
-                known.clear()
-                new = set(parts)
-            for p in new:
-                known[p] = self._part(p)
-        return b"".join([known[p] for p in parts])
+        return b"".join([self.parts[p] for p in parts])
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.raw(text), dtype=self.dtype)
 
 
 _LOADED: dict[str, TextEncoder] = {}
+at_leaving("encode", _LOADED.clear)
 
 
 def encoder(path: str) -> TextEncoder:
     """One encoder for each worker process and tokenizer file."""
+    enter("encode")
     if path not in _LOADED:
         _LOADED[path] = TextEncoder(path)
     return _LOADED[path]

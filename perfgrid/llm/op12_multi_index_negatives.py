@@ -109,17 +109,19 @@ def open_floor(windows: list[dict], k: int) -> list[tuple[int, int]]:
 
 
 def next_cells(shared, k: int, most: int):
-    """Names the next ``most`` cells of each open anchor; (row, cell NULL) closes a certified one."""
+    """Names the next ``most`` cells of each open anchor, in one row for each code of the first half. A row
+    without code tells how many cells were passed and whether more may follow."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         wide = len(index.books[1])
         for batch in batches:
-            rows, cells, taken = [], [], []
+            rows: list[list] = [[], [], [], [], []]
             for row, v, visited, windows in zip(*(batch.column(n).to_pylist() for n in ("row", "v", "visited", "windows"))):
                 (up_a, low_a), (up_b, low_b) = index.bounds(np.array(v, np.int64))
                 spans, passed, got = open_floor(windows, k), 0, 0
                 lowest = min((f for f, _ in spans), default=np.inf)
+                named: dict[int, list[int]] = {}
                 for i, j, bound in walk((up_a, up_b)):
                     if bound < lowest or got >= most:
                         break
@@ -128,13 +130,13 @@ def next_cells(shared, k: int, most: int):
                         continue
                     low = low_a[i] + low_b[j]
                     if any(bound >= f and low <= h for f, h in spans):
-                        rows.append(row)
-                        cells.append(i * wide + j)
+                        named.setdefault(i, []).append(i * wide + j)
                         got += 1
-                rows.append(row)
-                cells.append(None if got < most else -1)  # -1: more may follow
-                taken += [passed] * (len(rows) - len(taken))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(cells, pa.int64()), pa.array(taken, pa.int32())], ["row", "cell", "visited"])
+                for line in (*((row, i, cells, None, None) for i, cells in named.items()), (row, None, None, passed, got >= most)):
+                    for col, x in zip(rows, line):
+                        col.append(x)
+            types = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], ["row", "code", "cells", "visited", "more"])
 
     return ask
 
@@ -190,8 +192,9 @@ def certified(anchors: DataFrame, rows: DataFrame, directory: DataFrame, shared,
     anchors without an open window leave the rounds."""
     done, most = None, first
     while True:
-        named = table(anchors.select("row", "v", "visited", "windows").mapInArrow(next_cells(shared, k, most), "row long, cell long, visited int"), "cells")
-        asks = named.filter("cell >= 0").select("row", "cell").join(directory, "cell").groupBy("row", "shard").agg(F.collect_list("cell").alias("cells"))
+        named = table(anchors.select("row", "v", "visited", "windows").mapInArrow(next_cells(shared, k, most), "row long, code int, cells array<long>, visited int, more boolean"), "cells")
+        asks = named.filter("code IS NOT NULL").select("row", "code", "cells").join(directory, "code")
+        asks = asks.groupBy("row", "shard").agg(F.flatten(F.collect_list("cells")).alias("cells"))
         light = anchors.select("row", "windows", F.col("label").alias("anchor_label"), F.col("v").alias("q"))
         asks = asks.join(light, "row")
         chunks = asks.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / ASKERS).cast("int").alias("chunks"))
@@ -201,17 +204,18 @@ def certified(anchors: DataFrame, rows: DataFrame, directory: DataFrame, shared,
         asks, has = (x.repartition(shards, "shard", "chunk").groupBy("shard", "chunk") for x in (asks, has))
         hits = table(asks.cogroup(has).applyInArrow(best_in_shard(k), HIT), "hits")
         if report is not None:
-            seen = named.filter("cell >= 0").join(directory, "cell").agg(F.sum("n")).first()[0]
+            sizes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+            seen = named.select(F.explode("cells").alias("cell")).join(sizes, "cell").agg(F.sum("n")).first()[0]
             report["rounds"] = report.get("rounds", 0) + 1
             report["pairs"] = report.get("pairs", 0) + (seen or 0)
         old = anchors.select("row", F.explode("windows").alias("w")).select("row", F.col("w.pid").alias("pid"), F.explode("w.best").alias("b")).select("row", "pid", "b.score", "b.vec_id", F.col("b.row").alias("hit"))
         best = top_k(old.unionByName(hits), ["row", "pid"], [F.desc("score"), F.asc("vec_id"), F.asc("hit")], k)
         best = best.groupBy("row", "pid").agg(F.sort_array(F.collect_list(F.struct("rank", "score", "vec_id", F.col("hit").alias("row")))).alias("b"))
         best = best.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("pid", F.transform("b", lambda x: F.struct(x["score"].alias("score"), x["vec_id"].alias("vec_id"), x["row"].alias("row")))))).alias("found"))
-        step = named.groupBy("row").agg(F.max("visited").alias("visited"), F.max(F.col("cell") == -1).alias("more"))
+        step = named.filter("code IS NULL").select("row", "visited", "more")
         fill = lambda w: F.struct(w["pid"].alias("pid"), w["own"].alias("own"), w["low"].alias("low"), w["high"].alias("high"), F.coalesce(F.try_element_at("found", w["pid"]), w["best"]).alias("best"))
         now = anchors.drop("visited").join(step, "row").join(best, "row", "left")
-        now = table(now.select("row", "vec_id", "label", "v", "visited", F.transform("windows", fill).alias("windows"), F.coalesce("more", F.lit(False)).alias("more")), "anchors")
+        now = table(now.select("row", "vec_id", "label", "v", "visited", F.transform("windows", fill).alias("windows"), "more"), "anchors")
         ready = now.filter(~F.col("more")).drop("more")
         done = ready if done is None else done.unionByName(ready)
         anchors, most = now.filter("more").drop("more"), most * 4
@@ -220,7 +224,7 @@ def certified(anchors: DataFrame, rows: DataFrame, directory: DataFrame, shared,
 
 
 def sharded(rows: DataFrame, dim: int, shard_rows: int) -> tuple[DataFrame, DataFrame, Index, int]:
-    """Rows with cell and shard, the directory (cell, shard, n), the index and the number of shards."""
+    """Rows with cell and shard, the directory (first-half code, shard), the index and the number of shards."""
     n = rows.count()
     centres = int(min(MOST_CENTRES, max(1, np.sqrt(n / CELL_ROWS))))
     sample = matrix(rows.orderBy(F.xxhash64("hit"), "hit").limit(FIT_ROWS).select("v").toArrow().column("v"), dim).astype(np.float64)
@@ -245,8 +249,8 @@ def sharded(rows: DataFrame, dim: int, shard_rows: int) -> tuple[DataFrame, Data
     shards = max(1, -(-n // shard_rows))
     ranged = coded.drop("far_a", "far_b").repartitionByRange(shards, "cell", F.xxhash64("hit")).withColumn("shard", F.spark_partition_id())
     placed = table(ranged, "shards")
-    directory = table(placed.groupBy("cell", "shard").agg(F.count(F.lit(1)).alias("n")), "directory")
-    return placed, broadcast_checked(directory, 32), Index(books, tuple(radii)), shards
+    directory = table(placed.select(F.floor(F.col("cell") / wide).cast("int").alias("code"), "shard").distinct(), "directory")
+    return placed, broadcast_checked(directory, 16), Index(books, tuple(radii)), shards
 
 
 def hard_negatives(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: int = 5, low: int = 80, high: int = 100, shard_rows: int = 4096, first: int = 64, report: dict | None = None) -> DataFrame:

@@ -1,26 +1,33 @@
 """Personal data by patterns and a semi-Markov conditional random field.
 
 Base spans come from one pattern for each kind. Around tokens with a digit, an at sign or a
-spelled-out one, a semi-Markov field chooses boundaries and kinds together: a segment of up to
+spelled-out sign, a semi-Markov field chooses boundaries and kinds together: a segment of up to
 ``LONGEST`` tokens is scored by features of the whole span (shape, digits, groups, checksum, the word
-before it), and dynamic programming takes the best segmentation. Base spans are fixed; spans
-of the field that touch none of them are added when they beat the reading without them by ``margin``.
+before it), and dynamic programming over the whole window takes the best segmentation. Base
+spans are fixed; spans of the field that touch none of them are added when they beat the reading
+without them by ``margin``.
 
-The field is trained here, by the gradient of its likelihood, on a bounded sample of windows
-(``train_docs`` documents, by hash order) whose base spans are the labels, together with
-variants of these spans written in ways that the patterns miss (no plus sign, spelled-out signs, other
-separators).
+A segment of several tokens begins and ends at or beside a token with a sign or digit, has at
+most 24 digits, and beyond six tokens every other one of them is a spelled-out sign: no kind of
+personal data has another form.
+
+The field is trained here, by the gradient of its likelihood, on a bounded sample: ``train_docs``
+snippets of 300 characters around the first candidate of a document, by hash order, whose base
+spans are the labels, together with variants of these spans written in ways that the patterns miss
+(no plus sign, spelled-out signs, other separators).
 
 Nulls: a NULL text is empty; a NULL doc_id stays. Repeated rows are searched each. Texts are
-searched whole.
+searched whole, in time linear in their length. An empty table gives no rows, and a table without any
+base span trains a field that adds nothing. Other columns are kept by ``redacted`` and not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +37,7 @@ from pyspark.sql import functions as F
 from perfgrid.llm.common import load, query
 
 KINDS = ("email", "ip", "card", "phone")
-LONGEST, AROUND = 6, 2
+LONGEST, AROUND = 15, 2
 Span = tuple[int, int, str]
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -38,9 +45,10 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_ANY = re.compile(r"[0-9@]|[\[({] ?(?:at|AT) ?[\])}]")
-_TOKEN = re.compile(r"\S+")
-_TRIGGER = re.compile(r"[0-9@]|[\[({](?:at|dot|AT|DOT)[\])}]")
+_SPELLED = re.compile(r"[\[({] ?(?:at|dot|AT|DOT) ?[\])}]")
+_ANY = re.compile(r"[0-9@]|" + _SPELLED.pattern)
+_CANDIDATE = r"@[A-Za-z0-9-]+\.|[0-9]{3,}.?[0-9]{3,}|\+[0-9]|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]"
+_TOKEN = re.compile(r"[\[({] (?:at|dot|AT|DOT) [\])}]|\S+")  # a sign spelled with blanks inside is one token
 _TRIM_L, _TRIM_R = "\"'<{[,;:", "\"'>}],;:.!?"
 
 
@@ -52,6 +60,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def part_of_ip(digits: str) -> bool:
+    """At most 255, whatever the number of leading zeros."""
+    d = digits.lstrip("0")
+    return len(d) <= 3 and (not d or int(d) <= 255)
+
+
 def base_spans(text: str) -> list[Span]:
     """Spans of the patterns, by start and then kind. The address pattern is applied at each at sign: what
     stands before it is the run of its characters, which is where the pattern would begin."""
@@ -67,7 +81,7 @@ def base_spans(text: str) -> list[Span]:
             free = m.end()
         at = text.find("@", max(at + 1, free))
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(part_of_ip(p) for p in m.group().split(".")):
             out.append((*m.span(), "ip"))
     for m in _CARD.finditer(text):
         d = m.group().replace(" ", "").replace("-", "")
@@ -80,30 +94,33 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def windows(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of token spans around tokens that can belong to an entity; long runs are cut between
-    tokens that cannot."""
-    tokens, hot = [], []
-    for m in _ANY.finditer(text):
-        if tokens and m.start() < tokens[-1][1]:
+def hot_tokens(text: str, start: int = 0, end: int | None = None) -> list[tuple[int, int]]:
+    """Spans of the tokens that hold a digit, an at sign or (a part of) a spelled-out sign."""
+    end, out = len(text) if end is None else end, []
+    for m in _ANY.finditer(text, start, end):
+        lo, hi = m.span()
+        if out and hi <= out[-1][1]:
             continue
-        lo = m.start()
-        while lo > 0 and not text[lo - 1].isspace():
+        while lo > start and not text[lo - 1].isspace():
             lo -= 1
-        hi = m.end()
-        while hi < len(text) and not text[hi].isspace():
+        while hi < end and not text[hi].isspace():
             hi += 1
-        tokens.append((lo, hi))
-    for lo, hi in tokens:  # what stands around a token: AROUND tokens on either side
+        out += [t.span() for t in _TOKEN.finditer(text, max(lo, out[-1][1] if out else lo), hi)]
+    return out
+
+
+def windows(text: str) -> list[list[tuple[int, int]]]:
+    """Runs of token spans: tokens that can belong to an entity and AROUND tokens on either side, of
+    those that stand within 80 characters. Runs that meet are one."""
+    out: list[list[tuple[int, int]]] = []
+    for lo, hi in hot_tokens(text):
         left = [m.span() for m in _TOKEN.finditer(text, max(0, lo - 80), lo)][-AROUND:]
-        left = [s for s in left if s[0] == 0 or text[s[0] - 1].isspace()]
         right = [m.span() for m in _TOKEN.finditer(text, hi, min(len(text), hi + 80))][:AROUND]
-        right = [s for s in right if s[1] == len(text) or text[s[1]].isspace()]
-        hot.append([*left, (lo, hi), *right])
-    out: list[list[tuple[int, int]]] = []
-    for w in hot:
+        w = [s for s in left if s[0] == 0 or text[s[0] - 1].isspace()] + [(lo, hi)]
+        w += [s for s in right if s[1] == len(text) or text[s[1]].isspace()]
         if out and w[0][0] <= out[-1][-1][1]:
-            out[-1] = sorted({*out[-1], *w})
+            last = out[-1][-1][0]
+            out[-1] += [s for s in w if s[0] > last]
         else:
             out.append(w)
     return out
@@ -131,11 +148,14 @@ def span_features(text: str, lo: int, hi: int, tokens: int) -> list[str]:
     marks = "".join(sorted(set(re.sub(r"[a-z0-9\s]", "", s.lower()))))
     size = next(i for i, m in enumerate((0, 3, 6, 8, 11, 15, 19, 10**9)) if len(d) <= m)
     before = re.search(r"([^\W\d_]+)\W*$", text[max(0, lo - 24) : lo])
-    quads = len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)
-    spelled = bool(re.search(r"[\[({ ]at[\])} ]", s.lower()))
+    quads = len(groups) == 4 and all(part_of_ip(g) for g in groups)
+    signs = [m.group().strip("[](){} ").lower() for m in _SPELLED.finditer(text, lo, hi)]
+    at, dot = signs.count("at"), signs.count("dot")
+    edge = "".join("9" if c.isdigit() else "a" if c.isalpha() else c for c in (s[:1], s[-1:]))
     return [
-        "1", f"n{tokens}", f"d{size}", f"s{shape[:24]}", f"m{marks}", f"l{min(letters, 12) // 3}{letters > 0}", f"g{min(len(groups), 6)}",
-        f"q{quads}", f"c{12 <= len(d) <= 19 and luhn(d)}{letters > 0}", f"@{'@' in s}{s.count('.') > 0}", f"t{spelled}{'dot' in s.lower()}", f"+{s[:1] == '+'}{size}",
+        "1", f"n{min(tokens, 4)}", f"d{size}", f"s{shape[:24]}", f"m{marks}", f"l{min(letters, 12) // 3}{letters > 0}", f"g{min(len(groups), 6)}",
+        f"G{','.join(str(min(len(g), 9)) for g in groups[:6])}{letters > 0}",
+        f"q{quads}", f"c{12 <= len(d) <= 19 and luhn(d)}{letters > 0}", f"@{'@' in s}{s.count('.') > 0}", f"t{min(at, 2)}{min(dot, 1)}{at + dot > 0 and edge}", f"e{edge}", f"+{s[:1] == '+'}{size}",
         f"w{before.group(1).lower() if before else ''}",
     ]
 
@@ -150,19 +170,27 @@ class Field:
     def rows(self, names: list[str]) -> np.ndarray:
         return np.array([int.from_bytes(hashlib.blake2b(f.encode("utf-8", "surrogatepass"), digest_size=4).digest()) % len(self.w) for f in names])
 
-    def segments(self, text: str, window: list[tuple[int, int]]) -> list[list[tuple[int, np.ndarray]]]:
-        """For each end, (length, feature rows) of its candidate segments; segments of more than one
-        token begin and end with a token that can belong to an entity."""
-        hot = [bool(_TRIGGER.search(text[a:b])) for a, b in window]
-        out: list[list[tuple[int, np.ndarray]]] = [[]]
+    def candidates(self, text: str, window: list[tuple[int, int]]) -> Iterator[list[tuple[int, np.ndarray]]]:
+        """For each end, (length, feature rows) of its candidate segments."""
+        starts = {lo for lo, _ in hot_tokens(text, window[0][0], window[-1][1])}
+        hot = [lo in starts for lo, _ in window]
+        digits = np.concatenate([[0], np.cumsum([sum(c.isdigit() for c in text[lo:hi]) for lo, hi in window])])
+        signs = np.concatenate([[0], np.cumsum([bool(_SPELLED.match(text, max(0, lo - 2))) or bool(_SPELLED.match(text, lo)) for lo, _ in window])])
         for end in range(1, len(window) + 1):
             here = []
             for n in range(1, min(LONGEST, end) + 1):
                 first = end - n
+                if n > 1 and digits[end] - digits[first] > 24:
+                    break
+                if n > 6 and 2 * (signs[end] - signs[first]) + 1 < n:
+                    continue
                 if n == 1 or (hot[end - 1] or hot[end - 2]) and (hot[first] or hot[first + 1]):
                     here.append((n, self.rows(span_features(text, window[first][0], window[end - 1][1], n))))
-            out.append(here)
-        return out
+            yield here
+
+    def segments(self, text: str, window: list[tuple[int, int]]) -> list[list[tuple[int, np.ndarray]]]:
+        """The candidates of all ends at once, an empty list in front; for training."""
+        return [[], *self.candidates(text, window)]
 
     def score(self, n: int, rows: np.ndarray) -> np.ndarray:
         s = self.w[rows].sum(axis=0)
@@ -170,23 +198,28 @@ class Field:
             s[0] = -np.inf
         return s
 
-    def best(self, segments: list[list[tuple[int, np.ndarray]]]) -> tuple[float, list[tuple[int, int, int]]]:
-        """Score and segments (first token, end, label) of the best segmentation."""
-        top = [np.zeros(len(self.t))]
-        back: list[list] = [[]]
-        for end in range(1, len(segments)):
-            best, how = np.full(len(self.t), -np.inf), [None] * len(self.t)
-            for n, rows in segments[end]:
-                into = top[end - n][:, None] + (self.t if end > n else np.zeros_like(self.t))
-                s = self.score(n, rows) + into.max(axis=0)
-                for y in np.flatnonzero(s > best):
-                    best[y], how[y] = s[y], (n, int(into[:, y].argmax()))
+    def best(self, segments: Iterable[list[tuple[int, np.ndarray]]]) -> tuple[float, list[tuple[int, int, int]]]:
+        """Score and segments (first token, end, label) of the best segmentation. Candidates may come one
+        end after the other; two bytes a label and end are kept."""
+        kinds, flat = len(self.t), np.zeros_like(self.t)
+        top, back = [np.zeros(kinds)], []
+        for end, here in enumerate(segments):
+            if not end:
+                continue
+            best, how = np.full(kinds, -np.inf), np.zeros((kinds, 2), np.int8)
+            for n, rows in here:
+                into = top[end - n][:, None] + (self.t if end > n else flat)
+                prior = into.argmax(axis=0)
+                s = self.score(n, rows) + into[prior, np.arange(kinds)]
+                better = s > best
+                best[better] = s[better]
+                how[better] = np.stack([np.full(kinds, n), prior], axis=1)[better]
             top.append(best)
             back.append(how)
-        end, y, out = len(segments) - 1, int(top[-1].argmax()), []
+        end, y, out = len(back), int(top[-1].argmax()), []
         total = float(top[-1].max())
         while end > 0:
-            n, prior = back[end][y]
+            n, prior = (int(x) for x in back[end - 1][y])
             out.append((end - n, end, y))
             end, y = end - n, prior
         return total, out[::-1]
@@ -247,7 +280,7 @@ def variants(kind: str, s: str) -> list[str]:
     """The same datum written so that the base patterns miss it."""
     d = re.sub(r"\D", "", s)
     if kind == "email":
-        return [s.replace("@", " (at) ").replace(".", " (dot) "), s.replace("@", "[at]").replace(".", "[dot]")]
+        return [s.replace("@", f"{a}at{b}").replace(".", f"{a}dot{b}") for a, b in ((" (", ") "), ("[", "]"), (" [ ", " ] "))]
     if kind == "phone" and len(d) >= 10:
         return [f"({d[-10:-7]}) {d[-7:-4]}-{d[-4:]}", f"{d[-10:-7]}-{d[-7:-4]}-{d[-4:]}"]
     if kind == "ip":
@@ -257,49 +290,71 @@ def variants(kind: str, s: str) -> list[str]:
     return []
 
 
-def train(texts: list[str], epochs: int = 3) -> Field:
+def forms(kind: str, s: str) -> list[str]:
+    """A datum and, for an address, shorter ones of the same make."""
+    if kind != "email":
+        return [s]
+    local, host = s.split("@")
+    plain, parts = re.sub(r"[^A-Za-z]", "", local) or "a", host.split(".")
+    return list(dict.fromkeys([s, f"{plain}@{'.'.join(parts[-2:])}", f"{plain}.{parts[0]}@{host}", f"{plain}_{parts[0]}@{parts[0]}-{parts[-1]}.{host}", f"{local}@{'.'.join(parts[-2:])}"]))
+
+
+def train(texts: list[str], epochs: int = 15) -> Field:
     """Field learned from texts of bounded number; texts are visited in the given order."""
     field, data = Field(), []
     for text in texts:
         spans = base_spans(text)
         shown = [(text, spans)]
-        for a, b, kind in spans[:2]:
+        for a, b, kind in spans:
             lo, hi = max(0, a - 60), min(len(text), b + 60)
-            for v in variants(kind, text[a:b]):
+            for v in [v for form in forms(kind, text[a:b]) for v in variants(kind, form)]:
                 shown.append((text[lo:a] + v + text[b:hi], [(a - lo, a - lo + len(v), kind)]))
-        shown += [(f"{text[:40]} {x} {text[40:80]}", []) for x in ("2024-05-17", "12:30", "3.14", "1999", "v2.10", "100,000", "7")] if spans else []
+        shown += [(f"{text[:40]} {x} {text[40:80]}", []) for x in ("2024-05-17", "12:30", "3.14", "1999", "v2.10", "100,000", "7", "123-45-6789", "(3) 17-4")] if spans else []
         for t, s in shown:
-            for w in windows(t)[:4]:
-                if len(w) <= 24:
-                    data.append((field.segments(t, w), gold_of(t, w, s)))
+            data += [(field.segments(t, w), gold_of(t, w, s)) for w in windows(t)]
     for epoch in range(epochs):
         for segments, gold in data:
             field.step(segments, gold, 0.2 / (1 + epoch))
     return field
 
 
+class Covered:
+    """Whether a span meets one of the given spans."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts, self.ends = [], []
+        for a, b, _ in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, lo: int, hi: int) -> bool:
+        at = bisect_left(self.starts, hi) - 1
+        return at >= 0 and self.ends[at] > lo
+
+
 def added_spans(field: Field, text: str, base: list[Span], margin: float) -> list[Span]:
     """Spans of the field that touch no base span and beat the reading without them by ``margin``."""
     out: list[Span] = []
+    covered = Covered(base)
+    of = lambda w, a, b: field.rows(span_features(text, w[a][0], w[b - 1][1], b - a))
     for w in windows(text):
-        for at in range(0, len(w), 64):  # runs longer than 64 tokens of digits are read in parts
-            part = w[at : at + 64]
-            if all(any(s[0] < b and s[1] > a for s in base) or not _TRIGGER.search(text[a:b]) for a, b in part):
-                continue
-            segments = field.segments(text, part)
-            _, best = field.best(segments)
-            for first, end, y in best:
-                if not y:
-                    continue
-                rows = next(r for n, r in segments[end] if n == end - first)
-                outside = sum(field.score(1, next(r for n, r in segments[i] if n == 1))[0] for i in range(first + 1, end + 1))
-                lo, hi = core(text, part[first][0], part[end - 1][1])
-                if lo < hi and field.score(end - first, rows)[y] - outside >= margin and not any(s[0] < hi and s[1] > lo for s in base):
-                    out.append((lo, hi, KINDS[y - 1]))
+        if all(covered.meets(a, b) for a, b in hot_tokens(text, w[0][0], w[-1][1])):
+            continue
+        _, best = field.best(chain([[]], field.candidates(text, w)))
+        for first, end, y in best:
+            if y:
+                lo, hi = core(text, w[first][0], w[end - 1][1])
+                if lo < hi and not covered.meets(lo, hi):
+                    outside = sum(field.score(1, of(w, i, i + 1))[0] for i in range(first, end))
+                    if field.score(end - first, of(w, first, end))[y] - outside >= margin:
+                        out.append((lo, hi, KINDS[y - 1]))
     return out
 
 
-def find_spans(text: str, field: Field | None, margin: float = 1.0) -> tuple[list[Span], list[Span]]:
+def find_spans(text: str, field: Field | None, margin: float = 0.5) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans) of a text."""
     if not _ANY.search(text):
         return [], []
@@ -309,48 +364,40 @@ def find_spans(text: str, field: Field | None, margin: float = 1.0) -> tuple[lis
 
 
 def fit(docs: DataFrame, train_docs: int = 150) -> Field:
-    """Trains on ``train_docs`` documents that have base spans to show, cut to what surrounds these."""
-    texts = docs.select(F.col("text").cast("string").alias("text")).filter(F.col("text").rlike(r"@[A-Za-z0-9-]+\.|[0-9]{3,}.?[0-9]{3,}|\+[0-9]|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]"))
-
-    def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for t in batch.column("text").to_pylist():
-                spans = base_spans(t)
-                if spans:
-                    a, b, _ = min(spans, key=lambda s: hashlib.md5(t[s[0] : s[1]].encode("utf-8", "surrogatepass")).digest())
-                    out.append(t[max(0, a - 120) : min(len(t), b + 120)])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["text"])
-
-    rows = texts.mapInArrow(shown, "text string").orderBy(F.xxhash64("text"), "text").limit(train_docs).toArrow()
-    return train(rows.column("text").to_pylist())
+    """Trains on at most ``train_docs`` snippets of 300 characters; at most four times as many
+    candidates reach the driver."""
+    at = F.regexp_instr(F.col("text").cast("string"), F.lit(_CANDIDATE))
+    texts = docs.select(F.col("text").cast("string").alias("text"), at.alias("at")).filter("at > 0")
+    texts = texts.select(F.substring("text", F.greatest(F.lit(1), F.col("at") - 120), F.lit(300)).alias("text"))
+    rows = texts.distinct().orderBy(F.xxhash64("text"), "text").limit(4 * train_docs).toArrow()
+    return train([t for t in rows.column("text").to_pylist() if base_spans(t)][:train_docs])
 
 
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-def detect(docs: DataFrame, field: Field, margin: float = 1.0) -> DataFrame:
-    """doc_id, n_<kind> of base spans, base_sha256, spans, n_added."""
+def detect(docs: DataFrame, field: Field, margin: float = 0.5) -> DataFrame:
+    """doc_id, n_<kind> of base spans, base_sha256, spans, n_added, n_spans (of all spans)."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = shared.value
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(8)]
             for t in batch.column("text").to_pylist():
                 base, every = find_spans(t, field, margin)
                 n = [sum(s[2] == k for s in base) for k in KINDS]
-                for col, v in zip(cols, (*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(every) - len(base))):
+                for col, v in zip(cols, (*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(every) - len(base), len(every))):
                     col.append(v)
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(cols, kinds)]], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"])
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(cols, kinds)]], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added", "n_spans"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return d.mapInArrow(run, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long")
+    return d.mapInArrow(run, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long, n_spans long")
 
 
-def redacted(docs: DataFrame, field: Field, margin: float = 1.0) -> DataFrame:
+def redacted(docs: DataFrame, field: Field, margin: float = 0.5) -> DataFrame:
     """Documents with every span replaced by its kind in angle brackets; other columns stay."""
     shared, names, at = docs.sparkSession.sparkContext.broadcast(field), docs.columns, docs.columns.index("text")
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perfgrid.llm.common import load, query, table
+from perfgrid.llm.common import Cache, enter, load, query, slices, table
 from perfgrid.llm.components import components
 from perfgrid.session import broadcast_checked
 
@@ -35,15 +35,7 @@ MISS = 1e-7
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 100_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_WORDS = _Hashes()
+_WORDS = Cache("near_dedup", xxhash.xxh64_intdigest)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -108,7 +100,8 @@ def near_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     keyed = keyed.withColumn("_key", F.xxhash64("doc_id", "text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        enter("near_dedup")
+        for batch in (part for whole in batches for part in slices(whole)):
             n, digest, keys = [], [], []
             for t in batch.column("text").to_pylist():
                 s = shingle_set(t, words)
@@ -170,7 +163,8 @@ def _sets(keyed: DataFrame, met: DataFrame, words: int) -> DataFrame:
     found = keyed.join(wanted, "_key").filter(F.col("doc_id").eqNullSafe(F.col("_id"))).select("rep", "text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        enter("near_dedup")
+        for batch in (part for whole in batches for part in slices(whole)):
             sets = [shingle_set(t, words).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], ["rep", "set"])
 

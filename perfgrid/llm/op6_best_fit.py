@@ -2,8 +2,11 @@
 
 Documents become pieces of at most ``size`` tokens. Each partition packs its pieces
 best-fit decreasing and emits the bins that are nearly full; bins with more room go on
-as items to a coarser partitioning, where they are packed again, until one partition
-is left. A bin keeps its pieces in an array of at most ``size`` members.
+as items to a coarser partitioning, where they are packed again. After each round the smallest
+bin left is known, and every bin without room for it is final, as nothing can be added to it. Partitions
+are merged only while the members left, counted after each round, fit ``task_members`` a
+task; beyond that bins are dealt anew to as many partitions as they need, until a round
+saves less than one bin in a hundred. A bin keeps its pieces in an array of at most ``size`` members.
 
 Nulls: a NULL text is empty and still has its end id; a NULL doc_id stays NULL.
 Repeated rows are packed each on its own; an empty table gives no row.
@@ -20,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perfgrid.llm.common import load, query, table
+from perfgrid.llm.common import load, query, slices, table
 from perfgrid.llm.encoding import encoder, tokenizer_path
 
 _MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("tag", pa.int64())])
@@ -34,7 +37,7 @@ def cut_pieces(docs: DataFrame, path: str, size: int, end: int | None = 0, tag:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         tail = np.array([] if end is None else [end], enc.dtype).tobytes()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             out: list[list] = [[] for _ in range(6)]
             for d, t, g in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "tag"))):
                 ids = np.frombuffer(enc.raw(t) + tail, enc.dtype).astype("<u4")
@@ -73,17 +76,14 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-def pack_bins(pieces: DataFrame, size: int, full: float = 0.995, fan_in: int = 8) -> DataFrame:
+def pack_bins(pieces: DataFrame, size: int, full: float = 0.995, fan_in: int = 8, task_members: int = 200_000) -> DataFrame:
     """Rows of pieces with sequence_id and offset. ``full`` is the fill at which a bin is
-    final; ``fan_in`` partitions are merged from round to round.
-
-    The last round has one partition. It holds what every partition before it left over:
-    the last bins of a best-fit run, a few for each partition and not a share of the rows.
-    """
+    final; ``fan_in`` partitions are merged from round to round, of at most about
+    ``task_members`` members each."""
     spark = pieces.sparkSession
     member = F.struct(*[f.name for f in _MEMBER])
 
-    def packed(level: int, last: bool):
+    def packed(level: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = [x for batch in batches for x in zip(batch.column("fill").to_pylist(), batch.column("members"))]
             base = (level << 56) | (TaskContext.get().partitionId() << 28)
@@ -101,16 +101,23 @@ def pack_bins(pieces: DataFrame, size: int, full: float = 0.995, fan_in: int = 8
     full_at = int(size * full)
     bins = table(pieces.select(F.lit(0).cast("long").alias("sequence_id"), F.col("length").alias("fill"), F.array(member).alias("members")), "pieces")
     parts = max(1, bins.rdd.getNumPartitions())
-    done, level = [], 1
+    done, level, count, redealt = [], 1, None, False
     while True:
-        spread = bins if level == 1 else bins.coalesce(parts)
-        packing = table(spread.mapInArrow(packed(level, parts == 1), _BIN), "bins")
-        if parts == 1 and level > 1:
+        spread = bins if level == 1 else bins.repartition(parts) if redealt else bins.coalesce(parts)
+        packing = table(spread.mapInArrow(packed(level), _BIN), "bins")
+        left = packing.filter(F.col("fill") < full_at)
+        rest = left.agg(F.min("fill").alias("least"), F.count(F.lit(1)).alias("n")).first()
+        final = F.col("fill") >= full_at if rest.least is None else F.col("fill") > min(full_at - 1, size - rest.least)
+        left = packing.filter(~final)
+        rest = left.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("members")), F.lit(0)).alias("members")).first()
+        stuck = redealt and count is not None and rest.n > 0.99 * count
+        if rest.n == 0 or parts == 1 and level > 1 or stuck:
             done.append(packing)
             break
-        done.append(packing.filter(F.col("fill") >= full_at))
-        bins = packing.filter(F.col("fill") < full_at)
-        parts, level = max(1, parts // fan_in), level + 1
+        done.append(packing.filter(final))
+        need = -(-int(rest.members) // task_members)
+        redealt, count = need > parts // fan_in, rest.n
+        parts, level, bins = max(1, parts // fan_in, need), level + 1, left
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
