@@ -233,7 +233,7 @@ def pivot_columns(coo: DataFrame, row: str, col: str, value: str, rank: int | No
         raise ValueError("give either rank or threshold")
     ids = _axis(coo, col)
     if not ids:
-        raise ValueError("too many columns for second moments: pivot on their latent factors")
+        return coo.sparkSession.createDataFrame([], f"place bigint, {col} {coo.schema[col].dataType.simpleString()}")
     g = _side(coo, col, row, value, ids)
     k = rank if rank is not None else approx_rank(_eigen(g)[0], threshold)
     id_type = coo.schema[col].dataType.simpleString()

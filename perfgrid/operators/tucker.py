@@ -85,49 +85,59 @@ def predict_cells(t: Tucker, idx: list[np.ndarray]) -> np.ndarray:
     return out[:, 0]
 
 
-def _pass(coo: DataFrame, sizes: list[int], mode: int | None, factors: list[np.ndarray], t: Tucker | None) -> tuple[np.ndarray, float]:
-    """One scan of the observed cells: contraction of the (residual) cells with the
-    factors of all modes but ``mode``, and the squared residual norm.
+def _scan(coo: DataFrame, sizes: list[int], modes: list[int | None], factors: list[np.ndarray], t: Tucker | None) -> tuple[list[np.ndarray], float]:
+    """One scan of the observed cells: for each listed mode the contraction of the (residual) cells with the
+    factors of all other modes (None: of all modes), and the squared residual norm.
 
-    A task adds up one array of sizes[mode] x product(other ranks); tasks are few and
-    their partials are summed by Spark before the driver sees the result.
+    Contractions of the modes before and after a mode are shared by all modes. A task adds up one array of
+    sizes[mode] x product(other ranks) for each; their partials are summed by Spark before the driver sees them.
     """
     n_modes = len(sizes)
-    kept = [m for m in range(n_modes) if m != mode]
-    width = int(np.prod([factors[m].shape[1] for m in kept]))
-    rows = 1 if mode is None else sizes[mode]
+    widths = [int(np.prod([factors[m].shape[1] for m in range(n_modes) if m != mode])) for mode in modes]
+    rows = [1 if mode is None else sizes[mode] for mode in modes]
 
     def partial(batches):
-        total, norm = np.zeros((rows, width)), 0.0
+        totals, norm = [np.zeros((r, w)) for r, w in zip(rows, widths)], 0.0
+        beside = lambda a, b: (a[:, :, None] * b[:, None, :]).reshape(len(a), -1)
         for pdf in batches:
             for s in range(0, len(pdf), 4096):
                 part = pdf.iloc[s : s + 4096]
                 idx, _, e = _values(part, n_modes, t)
                 norm += float(e @ e)
-                w = e[:, None]
-                for m in kept:
-                    w = (w[:, :, None] * factors[m][idx[m]][:, None, :]).reshape(len(part), -1)
-                if mode is None:
-                    total[0] += w.sum(0)
-                else:
-                    np.add.at(total, idx[mode], w)
-        hit = np.flatnonzero(np.abs(total).sum(1))
-        out = pd.DataFrame({"i": hit.astype("int32"), "w": list(total[hit])})
-        yield pd.concat([out, pd.DataFrame({"i": np.array([-1], "int32"), "w": [np.array([norm])]})])
-
-    parts = coo.coalesce(max(1, partitions(coo.sparkSession))).mapInPandas(partial, "i int, w array<double>")
-    sums = parts.select("i", F.posexplode("w").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
-    packed = sums.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("w"))
-    out, norm = np.zeros((rows, width)), 0.0
+                looked = [f[i] for f, i in zip(factors, idx)]
+                upto, after = [e[:, None]], [np.ones((len(part), 1))]
+                for m in range(n_modes):
+                    upto.append(beside(upto[-1], looked[m]))
+                    after.append(beside(looked[n_modes - 1 - m], after[-1]))
+                for total, mode in zip(totals, modes):
+                    if mode is None:
+                        total[0] += upto[-1].sum(0)
+                    else:
+                        np.add.at(total, idx[mode], beside(upto[mode], after[n_modes - 1 - mode]))
+        for k, total in enumerate(totals):
+            hit = np.flatnonzero(np.abs(total).sum(1))
+            yield pd.DataFrame({"k": np.full(len(hit), k, "int32"), "i": hit.astype("int32"), "w": list(total[hit])})
+        yield pd.DataFrame({"k": np.array([-1], "int32"), "i": np.array([0], "int32"), "w": [np.array([norm])]})
+
+    parts = coo.coalesce(max(1, partitions(coo.sparkSession))).mapInPandas(partial, "k int, i int, w array<double>")
+    sums = parts.select("k", "i", F.posexplode("w").alias("j", "v")).groupBy("k", "i", "j").agg(F.sum("v").alias("v"))
+    packed = sums.groupBy("k", "i").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("w"))
+    out, norm = [np.zeros((r, w)) for r, w in zip(rows, widths)], 0.0
     for r in packed.collect():
         w = [x["v"] for x in r["w"]]
-        if r["i"] < 0:
+        if r["k"] < 0:
             norm = w[0]
         else:
-            out[r["i"]] = w
+            out[r["k"]][r["i"]] = w
     return out, norm
 
 
+def _pass(coo: DataFrame, sizes: list[int], mode: int | None, factors: list[np.ndarray], t: Tucker | None) -> tuple[np.ndarray, float]:
+    """The same for one mode."""
+    (z,), norm = _scan(coo, sizes, [mode], factors, t)
+    return z, norm
+
+
 def _low_rank_part(t: Tucker, mode: int | None, factors: list[np.ndarray]) -> np.ndarray:
     """Contraction of the low-rank tensor itself: products of small matrices only."""
     out = t.core
@@ -211,6 +221,10 @@ def complete(
     """Completion by filling: start with zeros (or the mean) in the missing cells,
     decompose, refill them from the model, and so on. Stops when, after two rounds,
     the observed error gains less than the tolerance. Observed cells never change.
+
+    A round is two scans: one contracts for all modes at once, with the factors of the round
+    before, and gives that round's error as well; one gives the core. A round that would raise the
+    observed error is taken back and done again one mode after the other.
     """
     ranks = [min(r, n) for r, n in zip(ranks, sizes)]
     _check(sizes, ranks)
@@ -220,13 +234,28 @@ def complete(
     if mean_fill:
         mean = float(coo.agg(F.avg("value")).first()[0])
         t = Tucker(np.full([1] * len(sizes), mean), [np.ones((n, 1)) for n in sizes])
+    open_modes = [m for m, r in enumerate(ranks) if r < sizes[m]]
     errors: list[float] = []
-    while (len(errors) <= 2 or (errors[-2] - errors[-1]) / errors[-2] >= tolerance) and len(errors) < max_sweeps:
-        t = sweep(coo, sizes, ranks, factors, t)
-        factors = t.factors
-        errors.append(observed_error(coo, sizes, t))
-        if errors[-1] < 1e-12:
-            break
+    kept, together = None, True
+    while True:
+        zs, norm = _scan(coo, sizes, open_modes or [None], factors, t)
+        if kept is not None or errors:
+            error = float(np.sqrt(norm))
+            if errors and together and error > errors[-1] * (1 + 1e-12):  # taken back
+                together = False
+                t = sweep(coo, sizes, ranks, kept.factors, kept)
+                factors = t.factors
+                continue
+            errors.append(error)
+            gained = len(errors) <= 2 or (errors[-2] - errors[-1]) / errors[-2] >= tolerance
+            if not gained or len(errors) >= max_sweeps or error < 1e-12:
+                break
+        kept, together, before = t or Tucker(np.zeros([1] * len(sizes)), [np.zeros((n, 1)) for n in sizes]), True, factors
+        factors = list(before)
+        for m, z in zip(open_modes, zs):
+            factors[m] = _lead(z if t is None else z + _low_rank_part(t, m, before), ranks[m])
+        core, _ = _contract(coo, sizes, None, factors, t)
+        t = Tucker(core.reshape([f.shape[1] for f in factors]), factors)
     t.errors = errors
     coo.unpersist()
     return t

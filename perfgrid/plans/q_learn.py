@@ -10,6 +10,7 @@ from perfgrid.operators import boost, cv, knn, linear
 from perfgrid.operators import ensemble as E
 from perfgrid.operators.select import mean_fold_error
 from perfgrid.operators.splits import stratified_folds
+from perfgrid.plans import tree_sql as TS
 from perfgrid.plans import views as V
 from perfgrid.plans.q_metrics import BER_TERM, CONFUSION_SQL, FOLD_ERR
 from perfgrid.plans.q_prep import CV_BER, CV_MEAN, MFOLDS, NUM, gnb_sql
@@ -78,41 +79,6 @@ def perceptron_epoch(spark, d):
     return s.select("dataset_id", "label", r4(F.col("w")[0]).alias("bias"), *[r4(F.col("w")[j + 1]).alias(c) for j, c in enumerate(NUM)])
 
 
-def _logistic_sql(steps: int) -> str:
-    """The same proximal steps, one after the other, for all left-out folds and classes."""
-    rate = 4.0 / (len(NUM) + 1)
-    stats = ", ".join(f"avg({c}) AS a_{c}, stddev_pop({c}) AS d_{c}" for c in NUM)
-    z = ", ".join(f"({c} - a_{c}) / CASE WHEN d_{c} > 0 THEN d_{c} ELSE 1 END AS z_{c}" for c in NUM)
-    score = "b + " + " + ".join(f"w_{c} * z_{c}" for c in NUM)
-    parts = [
-        "tr AS (SELECT * FROM (SELECT *, unnest(range(0, 5)) AS o FROM folds) WHERE fold <> o)",
-        f"st AS (SELECT dataset_id, o, {stats}, count(*) AS nn FROM tr GROUP BY 1, 2)",
-        f"ov AS (SELECT dataset_id, o, nn, c, {z}, CASE WHEN label = c THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS y FROM tr JOIN st USING (dataset_id, o), (SELECT unnest(['A', 'N', 'R']) AS c))",
-        "w0 AS (SELECT DISTINCT dataset_id, o, c, nn, 0.0::DOUBLE AS b, " + ", ".join(f"0.0::DOUBLE AS w_{c}" for c in NUM) + " FROM ov)",
-    ]
-    for i in range(steps):
-        pull = f"y / (1 + exp(y * ({score})))"
-        sums = f"sum({pull}) AS gb, " + ", ".join(f"sum({pull} * z_{c}) AS g_{c}" for c in NUM)
-        new = ", ".join(f"(w_{c} + {rate} * g_{c} / nn) / (1 + {rate} / nn) AS w_{c}" for c in NUM)
-        parts.append(f"g{i} AS (SELECT dataset_id, o, c, {sums} FROM ov JOIN w{i} USING (dataset_id, o, c) GROUP BY 1, 2, 3)")
-        parts.append(f"w{i + 1} AS (SELECT dataset_id, o, c, nn, b + {rate} * gb / nn AS b, {new} FROM w{i} JOIN g{i} USING (dataset_id, o, c))")
-    parts.append(f"rz AS (SELECT dataset_id, fold, row_id, l_quantity AS q, l_extendedprice AS e, label, {z} FROM folds JOIN st ON st.dataset_id = folds.dataset_id AND st.o = folds.fold)".replace("SELECT dataset_id", "SELECT folds.dataset_id"))
-    parts.append(
-        f"pr AS (SELECT r.dataset_id, fold, label, c AS prediction FROM rz r JOIN w{steps} w ON w.dataset_id = r.dataset_id AND w.o = r.fold "
-        f"QUALIFY row_number() OVER (PARTITION BY r.dataset_id, row_id, q, e ORDER BY {score} DESC, c) = 1)"
-    )
-    return V.ctes(V.CLS, V.FOLDS, *parts, CV_BER) + CV_MEAN
-
-
-@query("cv_logistic", _logistic_sql(3))
-def cv_logistic(spark, d):
-    """All datasets, folds and classes of a logistic model trained together."""
-    rows = cut(V.cls_folds(spark, d), wide=True)
-    s = linear.fit(rows, ["dataset_id"], "label", NUM, "logistic", epochs=3)
-    pred = linear.predict(rows, s, ["dataset_id"], NUM)
-    return mean_fold_error(M.ber(pred, ["dataset_id", "fold"], out="error"), ["dataset_id"])
-
-
 @query(
     "ridge_1d",
     V.ctes(V.CLS)
@@ -149,13 +115,23 @@ def ada_round1(spark, d):
     return t.select("dataset_id", "t.feature", r6("t.threshold").alias("threshold"), "t.low", "t.high", r6("t.error").alias("error"), r6("t.alpha").alias("alpha"))
 
 
-@query("adaboost")
+ADA_TEN = (
+    V.ctes(V.CLS, *TS.ada_rounds(10, NUM, "cls", by_name=True))
+    + ", pr AS (SELECT dataset_id, 0 AS fold, label, CASE WHEN va + vn + vr = 0 THEN NULL WHEN round(va, 9) >= round(vn, 9) AND round(va, 9) >= round(vr, 9) THEN 'A' WHEN round(vn, 9) >= round(vr, 9) THEN 'N' ELSE 'R' END AS prediction FROM q10), "
+    + CV_BER
+    + ", ns AS ("
+    + " UNION ALL ".join(f"SELECT dataset_id FROM st{i} WHERE alpha > 0" for i in range(10))
+    + ") SELECT dataset_id, round(e, 6) AS ber, (SELECT count(*) FROM ns WHERE ns.dataset_id = fe.dataset_id)::INT AS n_stumps FROM fe"
+)
+
+
+@query("adaboost", ADA_TEN)
 def adaboost(spark, d):
     """Ten boosting rounds on every dataset and the training error of the vote."""
     rows = V.cls(spark, d)
     s = boost.adaboost(rows, ["dataset_id"], "label", NUM, 10)
     pred = boost.predict(rows, s, ["dataset_id"], NUM)
-    return M.ber(pred, ["dataset_id"]).join(s.select("dataset_id", F.size("stumps").alias("n_stumps")), "dataset_id")
+    return M.ber(pred, ["dataset_id"]).withColumn("ber", r6("ber")).join(s.select("dataset_id", F.size("stumps").alias("n_stumps")), "dataset_id")
 
 
 SMALL = [c for c in cv.FAMILY if c["reducer"] is None and c["imputer"] != "most_frequent"]
@@ -249,7 +225,39 @@ def greedy_step(spark, d):
     return E.step_errors(E.patterns(E.pack(pred, ROW)), chosen).withColumn("error", r6("error"))
 
 
-@query("greedy_select")
+def _greedy_sql(steps: int = 2) -> str:
+    """Two more members for the three best: the votes of a list of members follow from counts of equal votes."""
+    hits = {c: f"len(list_filter(list_transform(ms, lambda m: v[m]), lambda x: x = '{c}'))" for c in "ANR"}
+    vote = f"CASE WHEN {hits['A']} >= {hits['N']} AND {hits['A']} >= {hits['R']} THEN 'A' WHEN {hits['N']} >= {hits['R']} THEN 'N' ELSE 'R' END"
+
+    def scored(name: str, lists: str) -> str:
+        """Error of each list ``ms`` (with its candidate) of the table ``lists``."""
+        return f"""{name}v AS (SELECT l.dataset_id, l.cand, label, {vote} AS p, n FROM {lists} l JOIN pat USING (dataset_id)),
+{name}t AS (SELECT dataset_id, cand, sum(n) AS total FROM {name}v GROUP BY 1, 2), {name}l AS (SELECT dataset_id, cand, label AS class, sum(n) AS pos, coalesce(sum(n) FILTER (WHERE p = label), 0) AS tp FROM {name}v GROUP BY 1, 2, 3),
+{name}n AS (SELECT dataset_id, cand, p AS class, sum(n) AS named FROM {name}v GROUP BY 1, 2, 3),
+{name}e AS (SELECT dataset_id, cand, avg(1 - 0.5 * tp / pos - 0.5 * (total - pos - coalesce(named, 0) + tp) / greatest(total - pos, 1e-15)) AS e
+  FROM {name}l JOIN {name}t USING (dataset_id, cand) LEFT JOIN {name}n USING (dataset_id, cand, class) GROUP BY 1, 2)"""
+
+    parts = [
+        "sid AS (SELECT dataset_id, label, list(prediction ORDER BY member) AS v FROM pred GROUP BY dataset_id, row_id, l_quantity, l_extendedprice, label)",
+        "pat AS (SELECT dataset_id, label, v, count(*) AS n FROM sid GROUP BY ALL)",
+        "rk AS (SELECT dataset_id, member, row_number() OVER (PARTITION BY dataset_id ORDER BY e, member) AS r FROM mb)",
+        "i0 AS (SELECT dataset_id, 0 AS cand, list(member ORDER BY r) AS ms FROM rk WHERE r <= 3 GROUP BY 1)",
+        scored("a0", "i0"),
+        "s0 AS (SELECT dataset_id, ms, e FROM i0 JOIN a0e USING (dataset_id))",
+    ]
+    for i in range(1, steps + 1):
+        parts += [
+            f"i{i} AS (SELECT dataset_id, member AS cand, list_append(ms, member) AS ms FROM s{i - 1} JOIN rk USING (dataset_id))",
+            scored(f"a{i}", f"i{i}"),
+            f"b{i} AS (SELECT dataset_id, cand, a.e FROM a{i}e a JOIN s{i - 1} s USING (dataset_id) JOIN rk ON rk.dataset_id = a.dataset_id AND rk.member = a.cand WHERE round(a.e, 12) < round(s.e, 12) "
+            f"QUALIFY row_number() OVER (PARTITION BY a.dataset_id ORDER BY r) = 1)".replace("SELECT dataset_id, cand", "SELECT a.dataset_id, a.cand"),
+            f"s{i} AS (SELECT s.dataset_id, CASE WHEN b.cand IS NULL THEN ms ELSE list_append(ms, b.cand) END AS ms, coalesce(b.e, s.e) AS e FROM s{i - 1} s LEFT JOIN b{i} b USING (dataset_id))",
+        ]
+    return MEMBER_BER + ", " + ", ".join(parts) + f" SELECT dataset_id, array_to_string(ms, ',') AS members, round(e, 6) AS error FROM s{steps}"
+
+
+@query("greedy_select", _greedy_sql())
 def greedy_select(spark, d):
     return E.greedy_select(V.pred(spark, d), ROW, 5).select("dataset_id", F.array_join("chosen", ",").alias("members"), r6("error").alias("error"))
 

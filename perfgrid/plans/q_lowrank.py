@@ -15,6 +15,7 @@ from perfgrid.operators.ranking import with_constants
 from perfgrid.plans import views as V
 from perfgrid.plans.q_tables import scratch
 from perfgrid.plans.registry import query
+from perfgrid.session import cut
 from perfgrid.sources.tables import artefact
 
 EMBL = V.ctes(V.EMB, V.EMB_LONG)
@@ -117,7 +118,7 @@ RANKS = [3, 3, 2, 2, 2]
 def complete_observed_kept(spark, d):
     """Completed table restricted to its observed cells: unchanged."""
     t = V.tensor(spark, d)
-    model = T.complete(t, V.TENSOR_SIZES, RANKS, max_sweeps=2)
+    model = T.complete(t, V.TENSOR_SIZES, RANKS)
     return T.fill(t, V.TENSOR_SIZES, model).filter("observed").drop("observed").withColumn("value", r6("value"))
 
 
@@ -131,12 +132,38 @@ def complete_error_monotone(spark, d):
     return with_constants(spark.createDataFrame(rows, "sweep int, ok boolean"), n)
 
 
+PLANTED = """pn AS (SELECT i0, avg(value) AS a, 1 + max(value) AS b FROM tensor GROUP BY 1), pb AS (SELECT i1, avg(value) AS a, 1 + max(value) AS b FROM tensor GROUP BY 1),
+pt AS (SELECT i2, avg(value) AS a, 1 + i2 / 3.0 AS b FROM tensor GROUP BY 1),
+pl AS (SELECT i0, i1, i2, 1000 * pn.a * pb.a * pt.a + pn.b * pb.b * pt.b AS value, substr(md5(concat_ws('|', i0, i1, i2)), 1, 1) < '4' AS hidden FROM pn, pb, pt)"""
+
+
+@query("hidden_cells", V.ctes(V.TENSOR, PLANTED) + "SELECT i0, count(*) AS n_hidden, true AS near, round(sum(value), 4) AS total FROM pl WHERE hidden GROUP BY 1")
+def hidden_cells(spark, d):
+    """A table of rank two made from averages of the data, a quarter of it hidden: completion run to its own
+    stop rule finds the hidden cells of every nation to within a hundredth of their norm."""
+    t = V.tensor(spark, d)
+    axis = lambda i, b: t.groupBy(i).agg(F.avg("value").alias(f"a_{i}"), b.alias(f"b_{i}"))
+    most = F.lit(1) + F.max("value")
+    axes = [axis("i0", most), axis("i1", most), axis("i2", F.lit(1) + F.max("i2") / 3.0)]
+    whole = axes[0].crossJoin(F.broadcast(axes[1])).crossJoin(F.broadcast(axes[2]))  # one row for each nation, brand and type
+    value = 1000 * F.col("a_i0") * F.col("a_i1") * F.col("a_i2") + F.col("b_i0") * F.col("b_i1") * F.col("b_i2")
+    hidden = F.substring(F.md5(F.concat_ws("|", "i0", "i1", "i2")), 1, 1) < "4"
+    whole = cut(whole.select("i0", "i1", "i2", value.alias("value"), hidden.alias("hidden")))
+    sizes = V.TENSOR_SIZES[:3]
+    model = T.complete(whole.filter("NOT hidden").drop("hidden"), sizes, [2, 2, 2], mean_fill=True)
+    found = T.fill(whole.filter("NOT hidden").drop("hidden"), sizes, model).filter("NOT observed").select("i0", "i1", "i2", F.col("value").alias("model"))
+    out = whole.filter("hidden").join(found, ["i0", "i1", "i2"])
+    gap = F.col("model") - F.col("value")
+    near = F.sum(gap * gap) < 1e-4 * F.sum(F.col("value") * F.col("value"))
+    return out.groupBy("i0").agg(F.count(F.lit(1)).alias("n_hidden"), near.alias("near"), F.round(F.sum("value"), 4).alias("total"))
+
+
 @query("latent_factors", """SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, CASE WHEN i = j THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS product, CAST(900 AS BIGINT) AS n_configs
 FROM (SELECT unnest(range(3)) AS i) a, (SELECT unnest(range(3)) AS j) b WHERE i <= j""")
 def latent_factors(spark, d):
     """Latent configuration factors of the completed tensor are orthonormal."""
     t = V.tensor(spark, d)
-    model = T.complete(t, V.TENSOR_SIZES, [4, 4, 3, 2, 2], max_sweeps=2)
+    model = T.complete(t, V.TENSOR_SIZES, [4, 4, 3, 2, 2])
     _, cols = T.latent_configs(spark, model, V.TENSOR_SIZES, 3)
     pairs = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.sum(F.col("y")[i] * F.col("y")[j]).alias("v")) for i in range(3) for j in range(i, 3)]
     g = cols.groupBy().agg(F.array(*pairs).alias("p"), F.count(F.lit(1)).alias("n_configs")).select(F.explode("p").alias("p"), "n_configs")
@@ -359,3 +386,39 @@ def warm_equals_fresh(spark, d):
     warm = artefact(spark, path, build, "warm").withColumnRenamed("error", "warm_error")
     both = fresh.join(warm.select("dataset_id", "config_id", "warm_error"), ["dataset_id", "config_id"])
     return both.groupBy("config_id").agg(F.count(F.when(F.col("error") == F.col("warm_error"), 1)).alias("n_equal"), r6(F.avg("warm_error")).alias("mean_error"))
+
+
+@query("planted_ranks", "SELECT CAST(unnest([2, 2, 2, 2]) AS INT) AS rank, unnest(['matrix', 'mode0', 'mode1', 'mode2']) AS of_")
+def planted_ranks(spark, d):
+    """Tables of rank two made from averages of the data: the matrix and every mode of the tensor have rank two."""
+    t = V.tensor(spark, d)
+    axis = lambda i: t.groupBy(i).agg(F.avg("value").alias(f"a_{i}"), (F.lit(1) + F.max(i) % 3 / 3.0).alias(f"b_{i}"))
+    whole = axis("i0").crossJoin(F.broadcast(axis("i1"))).crossJoin(F.broadcast(axis("i2")))  # one row for each nation, brand and type
+    value = 1000 * F.col("a_i0") * F.col("a_i1") * F.col("a_i2") + F.col("b_i0") * F.col("b_i1") * F.col("b_i2")
+    whole = cut(whole.select("i0", "i1", "i2", value.alias("value")))
+    sigma = L.factorize(whole.filter("i2 = 0"), "i0", "i1", "value", rank=25).all_sigma
+    ranks = [L.approx_rank(sigma, 1e-6), *T.tensor_rank(whole, V.TENSOR_SIZES[:3], [0, 1, 2], 1e-6)]
+    return spark.createDataFrame(list(zip(map(int, ranks), ["matrix", "mode0", "mode1", "mode2"])), "rank int, of_ string")
+
+
+THREE = """col AS (SELECT config_id, avg(error) AS y0, avg(runtime) / 100 AS y1 FROM perf GROUP BY 1),
+t AS (SELECT dataset_id, config_id, runtime, y0, y1 FROM perf_big JOIN col USING (config_id) WHERE runtime <= 200),
+p AS (SELECT * FROM t WHERE runtime <= 50 QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY round(y0 * y0 + y1 * y1, 12) DESC, config_id) = 1),
+q AS (SELECT t.* FROM t JOIN p USING (dataset_id) WHERE t.runtime <= 50 AND t.config_id <> p.config_id
+  QUALIFY row_number() OVER (PARTITION BY t.dataset_id ORDER BY t.y0 * t.y0 + t.y1 * t.y1 - (t.y0 * p.y0 + t.y1 * p.y1) ** 2 / (p.y0 * p.y0 + p.y1 * p.y1) DESC, t.config_id) = 1),
+x AS (SELECT p.dataset_id, p.config_id AS first_pick, q.config_id AS second_pick, p.runtime + q.runtime AS spent,
+  p.y0 * p.y0 + q.y0 * q.y0 AS a, p.y0 * p.y1 + q.y0 * q.y1 AS b, p.y1 * p.y1 + q.y1 * q.y1 AS c FROM p JOIN q USING (dataset_id)),
+r AS (SELECT t.dataset_id, config_id, runtime, x.* EXCLUDE (dataset_id) FROM t JOIN x USING (dataset_id) WHERE config_id <> first_pick AND config_id <> second_pick AND spent + runtime <= 200
+  QUALIFY row_number() OVER (PARTITION BY t.dataset_id ORDER BY (c * y0 * y0 - 2 * b * y0 * y1 + a * y1 * y1) / (a * c - b * b) / runtime DESC, config_id) = 1)"""
+
+
+@query("doptimal_three", V.ctes(V.PERF, V.PERF_BIG, THREE) + "SELECT dataset_id, first_pick, second_pick, config_id AS third_pick, round(spent + runtime, 6) AS spent FROM r")
+def doptimal_three(spark, d):
+    """Two latent columns: both pivot picks and the first pick by information per cost, for every supplier."""
+    cols = V.perf(spark, d).groupBy("config_id").agg(F.array(F.avg("error"), F.avg("runtime") / 100).alias("y"))
+    p = V.perf_big(spark, d)
+    budgets = p.select("dataset_id").distinct().withColumn("budget", F.lit(200.0))
+    at = lambda c, i: F.max(F.when(F.col("place") == i, F.col(c)))
+    t = D.select(p, cols, budgets, 2).filter("case = 'pivot'").groupBy("dataset_id")
+    t = t.agg(*[at("config_id", i).alias(f"{n}_pick") for i, n in ((1, "first"), (2, "second"), (3, "third"))], r6(at("spent", 3)).alias("spent"))
+    return t.filter("third_pick IS NOT NULL")
