@@ -132,8 +132,15 @@ def near_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     comp, cluster = table(components(links), "components"), components(pairs)
     known = met.select("rep", "met").join(cluster.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep")
     known = known.join(comp.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-    links = links.unionByName(_rest(table(known, "clusters"), sets, bands, percent))
-    comp = components(links)
+    rest = _rest(table(known, "clusters"), sets, bands, percent)
+    if not rest.isEmpty():  # they join whole components
+        name = lambda c: F.coalesce(f"c{c}.component", f"r.{c}").alias(c)
+        ends = rest.alias("r").join(comp.alias("ca"), F.col("r.a") == F.col("ca.node"), "left").join(comp.alias("cb"), F.col("r.b") == F.col("cb.node"), "left").select(name("a"), name("b"))
+        ends = table(ends, "ends")
+        upper = components(ends).select(F.col("node").alias("component"), F.col("component").alias("top"))
+        lone = ends.select(F.col("a").alias("node")).unionByName(ends.select(F.col("b").alias("node"))).distinct().join(comp, "node", "left_anti")
+        comp = comp.unionByName(lone.withColumn("component", F.col("node"))).join(upper, "component", "left")
+        comp = table(comp.select("node", F.coalesce("top", "component").alias("component")), "components")
 
     member = signed.select("_row", "doc_id", "_key", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left")
     member = member.withColumn("node", F.coalesce("rep", "_row")).join(comp, "node", "left").withColumn("_c", F.coalesce("component", "node"))

@@ -200,10 +200,23 @@ def test_rows_given_twice_in_one_batch(spark, docs_of):
     assert got == [(7, 400, 0), (7, 400, 400), (8, 400, 0)]
 
 
-def test_hubs(spark):
-    edges = [(0, x) for x in range(1, 3000)] + [(x, x + 1) for x in range(5000, 5040)] + [(2999, 5000)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert set(got.values()) == {0} and len(got) == 3041
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_components_in_rounds_and_at_once(spark, few):
+    rng = random.Random(4)
+    edges = [(0, x) for x in range(1, 1500)] + [(x, x + 1) for x in range(5000, 5040)] + [(1499, 5000)] + [(rng.randrange(9000, 9300), rng.randrange(9000, 9300)) for _ in range(200)]
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), few).collect()}
+    assert got == {x: top(x) for e in edges if e[0] != e[1] for x in e}
+    assert components(spark.createDataFrame([], "a long, b long"), few).collect() == []
 
 
 def test_cache_is_bounded():
