@@ -222,10 +222,16 @@ def _meet(b: Blocks, models: DataFrame, unit: str = "mid", ids: bool = False) ->
     return both.repartition(4 * partitions(b.frame.sparkSession), *b.dataset, "block", "_pack")
 
 
+def plain(batch: pa.RecordBatch, at: int) -> dict:
+    """One row as Python values; the lists of row ids stay Arrow arrays."""
+    ids = lambda n: n[:2] == "id" and n[2:].isdigit()
+    return {n: batch.column(i)[at].values if ids(n) else batch.column(i)[at].as_py() for i, n in enumerate(batch.schema.names)}
+
+
 def _rows(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[tuple[dict, Data]]:
     for batch in batches:
         for a in range(batch.num_rows):
-            row = {n: batch.column(i)[a].as_py() for i, n in enumerate(batch.schema.names)}
+            row = plain(batch, a)
             yield row, Data(row, dims)
 
 
@@ -392,7 +398,7 @@ def predictions(b: Blocks, models: DataFrame) -> DataFrame:
                     rows, p = _predicted(m, data, learners)
                     if len(rows):
                         cols = [pa.array([row[n]] * len(rows), of[n]) for n in dataset]
-                        cols += [pa.array([row[f"id{i}"][r] for r in rows], of[f"id{i}"].value_type) for i in range(n_ids)]
+                        cols += [row[f"id{i}"].take(pa.array(rows)) for i in range(n_ids)]
                         cols += [pa.array([m[0]["config_id"]] * len(rows), config_type), pa.array(data.fold[rows].astype(np.int32)), pa.array(data.y[rows]), pa.array(np.asarray(p).astype(np.int32))]
                         yield pa.RecordBatch.from_arrays(cols, schema.names)
 

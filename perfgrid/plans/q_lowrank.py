@@ -132,23 +132,26 @@ def complete_error_monotone(spark, d):
     return with_constants(spark.createDataFrame(rows, "sweep int, ok boolean"), n)
 
 
-PLANTED = """pn AS (SELECT i0, avg(value) AS a, 1 + max(value) AS b FROM tensor GROUP BY 1), pb AS (SELECT i1, avg(value) AS a, 1 + max(value) AS b FROM tensor GROUP BY 1),
-pt AS (SELECT i2, avg(value) AS a, 1 + i2 / 3.0 AS b FROM tensor GROUP BY 1),
-pl AS (SELECT i0, i1, i2, 1000 * pn.a * pb.a * pt.a + pn.b * pb.b * pt.b AS value, substr(md5(concat_ws('|', i0, i1, i2)), 1, 1) < '4' AS hidden FROM pn, pb, pt)"""
+_AXES = ", ".join(f"p{i} AS (SELECT i{i}, 20 * avg(value) AS a, (count(*) % {m} - {(m - 1) / 2}) AS b FROM tensor GROUP BY 1)" for i, m in ((0, 5), (1, 4), (2, 3)))
+PLANTED = f"""{_AXES},
+pl AS (SELECT i0, i1, i2, p0.a * p1.a * p2.a + p0.b * p1.b * p2.b AS value, substr(md5(concat_ws('|', i0, i1, i2)), 1, 1) < '4' AS hidden FROM p0, p1, p2)"""
+
+
+def planted(spark, d):
+    """A table of rank two made from averages and counts of the data: (i0, i1, i2, value)."""
+    t, parts = V.tensor(spark, d), None
+    for i, m in ((0, 5), (1, 4), (2, 3)):
+        axis = t.groupBy(f"i{i}").agg((20 * F.avg("value")).alias(f"a{i}"), (F.count(F.lit(1)) % m - (m - 1) / 2).alias(f"b{i}"))
+        parts = axis if parts is None else parts.crossJoin(F.broadcast(axis))  # one row for each nation, brand and type
+    return cut(parts.select("i0", "i1", "i2", (F.col("a0") * F.col("a1") * F.col("a2") + F.col("b0") * F.col("b1") * F.col("b2")).alias("value")))
 
 
 @query("hidden_cells", V.ctes(V.TENSOR, PLANTED) + "SELECT i0, count(*) AS n_hidden, true AS near, round(sum(value), 4) AS total FROM pl WHERE hidden GROUP BY 1")
 def hidden_cells(spark, d):
     """A table of rank two made from averages of the data, a quarter of it hidden: completion run to its own
     stop rule finds the hidden cells of every nation to within a hundredth of their norm."""
-    t = V.tensor(spark, d)
-    axis = lambda i, b: t.groupBy(i).agg(F.avg("value").alias(f"a_{i}"), b.alias(f"b_{i}"))
-    most = F.lit(1) + F.max("value")
-    axes = [axis("i0", most), axis("i1", most), axis("i2", F.lit(1) + F.max("i2") / 3.0)]
-    whole = axes[0].crossJoin(F.broadcast(axes[1])).crossJoin(F.broadcast(axes[2]))  # one row for each nation, brand and type
-    value = 1000 * F.col("a_i0") * F.col("a_i1") * F.col("a_i2") + F.col("b_i0") * F.col("b_i1") * F.col("b_i2")
     hidden = F.substring(F.md5(F.concat_ws("|", "i0", "i1", "i2")), 1, 1) < "4"
-    whole = cut(whole.select("i0", "i1", "i2", value.alias("value"), hidden.alias("hidden")))
+    whole = planted(spark, d).withColumn("hidden", hidden)
     sizes = V.TENSOR_SIZES[:3]
     model = T.complete(whole.filter("NOT hidden").drop("hidden"), sizes, [2, 2, 2], mean_fill=True)
     found = T.fill(whole.filter("NOT hidden").drop("hidden"), sizes, model).filter("NOT observed").select("i0", "i1", "i2", F.col("value").alias("model"))
@@ -391,11 +394,7 @@ def warm_equals_fresh(spark, d):
 @query("planted_ranks", "SELECT CAST(unnest([2, 2, 2, 2]) AS INT) AS rank, unnest(['matrix', 'mode0', 'mode1', 'mode2']) AS of_")
 def planted_ranks(spark, d):
     """Tables of rank two made from averages of the data: the matrix and every mode of the tensor have rank two."""
-    t = V.tensor(spark, d)
-    axis = lambda i: t.groupBy(i).agg(F.avg("value").alias(f"a_{i}"), (F.lit(1) + F.max(i) % 3 / 3.0).alias(f"b_{i}"))
-    whole = axis("i0").crossJoin(F.broadcast(axis("i1"))).crossJoin(F.broadcast(axis("i2")))  # one row for each nation, brand and type
-    value = 1000 * F.col("a_i0") * F.col("a_i1") * F.col("a_i2") + F.col("b_i0") * F.col("b_i1") * F.col("b_i2")
-    whole = cut(whole.select("i0", "i1", "i2", value.alias("value")))
+    whole = planted(spark, d)
     sigma = L.factorize(whole.filter("i2 = 0"), "i0", "i1", "value", rank=25).all_sigma
     ranks = [L.approx_rank(sigma, 1e-6), *T.tensor_rank(whole, V.TENSOR_SIZES[:3], [0, 1, 2], 1e-6)]
     return spark.createDataFrame(list(zip(map(int, ranks), ["matrix", "mode0", "mode1", "mode2"])), "rank int, of_ string")
