@@ -35,9 +35,9 @@ def byte_letters() -> dict[int, str]:
 class TextEncoder:
     """``ids(text)`` equals ``Tokenizer.encode(text, add_special_tokens=False).ids`` of the tokenizer as it is
     loaded. Texts that hold the string of an added token are encoded whole. About ``keep`` bytes of
-    parts and as many of words are remembered."""
+    parts are remembered, and fewer of words."""
 
-    def __init__(self, path: str, keep: int = 24 << 20):
+    def __init__(self, path: str, keep: int = 64 << 20):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -45,7 +45,8 @@ class TextEncoder:
         self.model = self.tok.model
         self.size = self.tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.parts, self.words = (Cache("encode", f, keep) for f in (self._part, self._word))
+        self.words = Cache("encode", self._word)
+        self.keep, self.used, self.parts = keep, 0, {}
         spec = json.loads(self.tok.to_str())
         pre, norm = spec["pre_tokenizer"] or {}, spec["normalizer"]
         led = norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
@@ -84,7 +85,16 @@ class TextEncoder:
         parts = text.split(" ")
         if self.mode == "led":
             parts = [parts[0], *[" " + p for p in parts[1:]]]
-        return b"".join([self.parts[p] for p in parts])
+        known = self.parts
+        new = [p for p in set(parts) if p not in known]
+        if new:
+            if self.used > self.keep:
+                known.clear()
+                self.used, new = 0, list(set(parts))
+            for p in new:
+                known[p] = self._part(p)
+            self.used += 200 * len(new) + 3 * sum(map(len, new))
+        return b"".join([known[p] for p in parts])
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.raw(text), dtype=self.dtype)
