@@ -45,7 +45,7 @@ class TextEncoder:
         self.model = self.tok.model
         self.size = self.tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.words = Cache("encode", self._word)
+        self.words = Cache("encode", self._word, 32 << 20)
         self.keep, self.used, self.parts = keep, 0, {}
         spec = json.loads(self.tok.to_str())
         pre, norm = spec["pre_tokenizer"] or {}, spec["normalizer"]
