@@ -158,3 +158,37 @@ def test_artefact_modes(spark, tmp_path):
     assert X.artefact(spark, path, one(1)).first()["v"] == 1
     assert X.artefact(spark, path, one(2)).first()["v"] == 1
     assert X.artefact(spark, path, one(3), "fresh").first()["v"] == 3
+
+
+def test_knn_moves_a_row_once_for_each_part(spark, monkeypatch):
+    """A task keeps k neighbours of a query row; rows do not come once for each pair of blocks."""
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(900, 3)), 1)  # no structure, many equal distances
+    x[::90] = x[0]
+    rows = [(i, [float(v) for v in r], int(i % 3), int(i % 5)) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "row_id bigint, x array<double>, label int, fold int")
+    seen = []
+    top = knn.top_k
+    monkeypatch.setattr(knn, "top_k", lambda found, *a: seen.append(found.count()) or top(found, *a))
+    got: dict = {}
+    for r in knn.neighbours(df, 4, 1, block=16).collect():
+        got.setdefault(r["row_id"], []).append((r["place"], r["near_id"]))
+    parts = 4  # tasks of eight partitions: four parts a side
+    assert seen[0] <= len(x) * 4 * parts
+    for i in range(0, len(x), 37):
+        gap = np.round(np.abs(x - x[i]).sum(1), 9)
+        near = [j for _, j in sorted(got[i])]
+        assert sorted(gap[near]) == sorted(gap[[j for j in range(len(x)) if j % 5 != i % 5]])[:4]
+
+
+def test_nearest_in_many_dimensions_is_exact():
+    """Products of matrices only bound the distances; with large offsets their own digits would not do."""
+    rng = np.random.default_rng(6)
+    a, b = (1000.0 + rng.normal(size=(n, 24)) for n in (40, 300))
+    b[100] = b[7]
+    found = knn.KNearest(a, 6, 2)
+    for s in range(0, 300, 50):
+        found.add(b[s : s + 50], np.arange(s, s + 50), np.arange(s, s + 50))
+    for i in range(len(a)):
+        gap = knn._paired(np.broadcast_to(a[i], b.shape), b, 2)
+        assert found.at[i].tolist() == np.lexsort((np.arange(300), gap))[:6].tolist()
