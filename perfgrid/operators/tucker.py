@@ -21,6 +21,7 @@ from perfgrid.session import partitions
 
 MAX_FACTOR = 4_000_000  # numbers in all factor matrices together (32 MB), shipped to every task
 MAX_CONTRACTION = 16_000_000  # numbers in one mode's contraction (128 MB), held by a task and the driver
+SLICE = 2_000_000  # numbers in one product of cells and factors (16 MB); a task holds a few such products
 
 
 @dataclass
@@ -77,7 +78,10 @@ def _values(pdf: pd.DataFrame, n_modes: int, t: Tucker | None) -> tuple[list[np.
 
 
 def predict_cells(t: Tucker, idx: list[np.ndarray]) -> np.ndarray:
-    """Low-rank values of the listed cells."""
+    """Low-rank values of the listed cells, as many at once as keep a product at ``SLICE`` numbers."""
+    step = max(1, SLICE // max(1, t.core.size // t.core.shape[0]))
+    if len(idx[0]) > step:
+        return np.concatenate([predict_cells(t, [i[a : a + step] for i in idx]) for a in range(0, len(idx[0]), step)])
     out = np.broadcast_to(t.core.reshape(1, -1), (len(idx[0]), t.core.size))
     shape = list(t.core.shape)
     for m in range(len(idx)):
@@ -85,6 +89,36 @@ def predict_cells(t: Tucker, idx: list[np.ndarray]) -> np.ndarray:
     return out[:, 0]
 
 
+def _add_cells(totals: list[np.ndarray], pdf: pd.DataFrame, modes: list[int | None], factors: list[np.ndarray], t: Tucker | None) -> float:
+    """Adds the cells of a batch to the contraction of each listed mode; gives their squared residual norm.
+
+    As many cells are taken at once as keep their widest product at ``SLICE`` numbers: at high ranks that is as
+    wide as the whole core."""
+    n_modes, norm = len(factors), 0.0
+    before = np.cumprod([1, *(f.shape[1] for f in factors)])
+    widest = max(int(before[-1 if mode is None else mode]) * (1 if mode is None else int(before[-1] // before[mode + 1])) for mode in modes)
+    step = max(1, min(4096, SLICE // max(1, widest)))
+    last = max(n_modes if mode is None else mode for mode in modes)
+    first = min(n_modes if mode is None else mode + 1 for mode in modes)
+    beside = lambda a, b: (a[:, :, None] * b[:, None, :]).reshape(len(a), -1)
+    for s in range(0, len(pdf), step):
+        part = pdf.iloc[s : s + step]
+        idx, _, e = _values(part, n_modes, t)
+        norm += float(e @ e)
+        looked = [f[i] for f, i in zip(factors, idx)]
+        upto, after = [e[:, None]], {n_modes: np.ones((len(part), 1))}
+        for m in range(last):
+            upto.append(beside(upto[-1], looked[m]))
+        for m in range(n_modes - 1, first - 1, -1):
+            after[m] = beside(looked[m], after[m + 1])
+        for total, mode in zip(totals, modes):
+            if mode is None:
+                total[0] += upto[-1].sum(0)
+            else:
+                np.add.at(total, idx[mode], beside(upto[mode], after[mode + 1]))
+    return norm
+
+
 def _scan(coo: DataFrame, sizes: list[int], modes: list[int | None], factors: list[np.ndarray], t: Tucker | None) -> tuple[list[np.ndarray], float]:
     """One scan of the observed cells: for each listed mode the contraction of the (residual) cells with the
     factors of all other modes (None: of all modes), and the squared residual norm.
@@ -98,22 +132,8 @@ def _scan(coo: DataFrame, sizes: list[int], modes: list[int | None], factors: li
 
     def partial(batches):
         totals, norm = [np.zeros((r, w)) for r, w in zip(rows, widths)], 0.0
-        beside = lambda a, b: (a[:, :, None] * b[:, None, :]).reshape(len(a), -1)
         for pdf in batches:
-            for s in range(0, len(pdf), 4096):
-                part = pdf.iloc[s : s + 4096]
-                idx, _, e = _values(part, n_modes, t)
-                norm += float(e @ e)
-                looked = [f[i] for f, i in zip(factors, idx)]
-                upto, after = [e[:, None]], [np.ones((len(part), 1))]
-                for m in range(n_modes):
-                    upto.append(beside(upto[-1], looked[m]))
-                    after.append(beside(looked[n_modes - 1 - m], after[-1]))
-                for total, mode in zip(totals, modes):
-                    if mode is None:
-                        total[0] += upto[-1].sum(0)
-                    else:
-                        np.add.at(total, idx[mode], beside(upto[mode], after[n_modes - 1 - mode]))
+            norm += _add_cells(totals, pdf, modes, factors, t)
         for k, total in enumerate(totals):
             hit = np.flatnonzero(np.abs(total).sum(1))
             yield pd.DataFrame({"k": np.full(len(hit), k, "int32"), "i": hit.astype("int32"), "w": list(total[hit])})

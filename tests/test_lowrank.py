@@ -157,3 +157,24 @@ def test_poly_cost_recovers_polynomial(spark):
 def test_rank_needs_one_bound(spark):
     with pytest.raises(ValueError):
         L.factorize(table(spark, planted(3, 3)[0]), "dataset_id", "config_id", "error")
+
+
+def test_cells_at_full_ranks_take_bounded_memory():
+    """A product of cells and factors is as wide as the core; it is taken for as many cells as fit."""
+    import tracemalloc
+
+    import pandas as pd
+
+    sizes = [25, 25, 6, 3, 2]
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({f"i{m}": rng.integers(0, n, 3000) for m, n in enumerate(sizes)} | {"value": rng.normal(size=3000)})
+    eyes = [np.eye(n) for n in sizes]
+    total = [np.zeros((1, int(np.prod(sizes))))]
+    tracemalloc.start()
+    T._add_cells(total, pdf, [None], eyes, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 128 << 20
+    dense = np.zeros(sizes)
+    np.add.at(dense, tuple(pdf[f"i{m}"] for m in range(5)), pdf["value"])
+    assert np.allclose(total[0][0], dense.ravel())
