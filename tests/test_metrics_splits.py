@@ -111,3 +111,28 @@ def test_scalar_forms(spark):
     df = spark.createDataFrame([("25%", 2.0), ("75%", 0.001)], "p string, v double")
     rows = df.select(percent("p").alias("p"), int_text("v").alias("t")).collect()
     assert [r["p"] for r in rows] == [0.25, 0.75] and rows[0]["t"] == "2" and float(rows[1]["t"]) == 0.001
+
+
+def test_many_small_groups_are_ranked_whole(spark):
+    """No sub-ranges, as many as rows, are joined to them; null groups have no rank, as before."""
+    d = spark.range(6000).select(F.when(F.col("id") % 600 != 5, F.col("id") % 600).alias("g"), "id", F.md5(F.col("id").cast("string")).alias("rk"))
+    ranked = R.hash_rank(d, ["g"], "rk", size="n")
+    assert "Join" not in ranked._jdf.queryExecution().optimizedPlan().toString()
+    got: dict = {}
+    for r in ranked.orderBy("g", "rk").collect():
+        got.setdefault(r.g, []).append((r["rank"], r.n))
+    assert len(got) == 599 and all(v == [(i + 1, 10) for i in range(10)] for v in got.values())
+
+
+def test_nested_split_equals_a_split_of_each_training_set(spark):
+    """Ranks among the training rows follow from one ranking; a class too small for it is drawn from all classes."""
+    rows = [(g, f"{g}-{i}", "ab"[i % 7 > 4] if i or g else "c", f"{(i * 7919 + g) % 10007:08x}") for g in (0, 1) for i in range(211)]
+    df = spark.createDataFrame(rows, "dataset_id int, row_id string, label string, rk string")
+    got = {(r.row_id, r.outer): r.part for r in P.nested_split(df, "dataset_id", "label", "rk").collect()}
+    folds = P.stratified_folds(df, "dataset_id", "label", "rk")
+    for o in range(5):
+        want = {r.row_id: "valid" if r.part == "test" else r.part for r in P.holdout(folds.filter(F.col("fold") != o), ["dataset_id"], "label", "rk").collect()}
+        want |= {r.row_id: "test" for r in folds.filter(F.col("fold") == o).collect()}
+        assert {k: v for (k, i), v in got.items() if i == o} == want
+    easy = P.nested_split(df.filter("dataset_id = 1"), "dataset_id", "label", "rk")
+    assert easy._jdf.queryExecution().optimizedPlan().toString().count("row_number()") == 1  # rows are sorted once for all folds
