@@ -30,7 +30,7 @@ def gram(spark, d):
 
 
 def _factors(spark, d, **kw):
-    return L.factorize(V.perf(spark, d), "dataset_id", "config_id", "error", **kw)
+    return L.factorize(cut(V.perf(spark, d)), "dataset_id", "config_id", "error", **kw)
 
 
 @query(
@@ -222,7 +222,7 @@ g AS (SELECT b.config_id, sum(a.error * b.error) AS g FROM perf_big a JOIN p1 ON
 
 @query("pivot_first", V.ctes(V.PERF_BIG, PIVOT) + "SELECT c AS config_id, round(ss, 6) AS energy FROM p1")
 def pivot_first(spark, d):
-    p = V.perf_big(spark, d)
+    p = cut(V.perf_big(spark, d))
     first = L.pivot_columns(p, "dataset_id", "config_id", "error", rank=1)
     energy = p.groupBy("config_id").agg(r6(F.sum(F.col("error") * F.col("error"))).alias("energy"))
     return energy.join(first.select("config_id"), "config_id", "left_semi")
@@ -265,7 +265,7 @@ SELECT dataset_id, pc AS first_pick, config_id AS second_pick, round(pt + runtim
 def doptimal_first(spark, d):
     """One latent column: the pivot pick and the first pick by information per cost."""
     cols = V.perf(spark, d).groupBy("config_id").agg(F.array(F.avg("error")).alias("y"))
-    p = V.perf_big(spark, d)
+    p = cut(V.perf_big(spark, d))
     budgets = p.select("dataset_id").distinct().withColumn("budget", F.lit(100.0))
     t = D.select(p, cols, budgets, 1)
     at = lambda c, i: F.max(F.when(F.col("place") == i, F.col(c)))
@@ -276,7 +276,7 @@ def doptimal_first(spark, d):
 def doptimal(spark, d):
     """Greedy D-optimal designs of all suppliers: within budget and nothing more fits."""
     f = _factors(spark, d, rank=3)
-    p = V.perf_big(spark, d)
+    p = cut(V.perf_big(spark, d))
     budgets = p.select("dataset_id").distinct().withColumn("budget", F.lit(200.0))
     t = D.select(p, f.cols, budgets, 3).groupBy("dataset_id").agg(
         F.max("spent").alias("spent"), F.count(F.lit(1)).alias("n"), F.count_distinct("config_id").alias("u"), F.collect_set("config_id").alias("ids")
@@ -415,7 +415,7 @@ r AS (SELECT t.dataset_id, config_id, runtime, x.* EXCLUDE (dataset_id) FROM t J
 def doptimal_three(spark, d):
     """Two latent columns: both pivot picks and the first pick by information per cost, for every supplier."""
     cols = V.perf(spark, d).groupBy("config_id").agg(F.array(F.avg("error"), F.avg("runtime") / 100).alias("y"))
-    p = V.perf_big(spark, d)
+    p = cut(V.perf_big(spark, d))
     budgets = p.select("dataset_id").distinct().withColumn("budget", F.lit(200.0))
     at = lambda c, i: F.max(F.when(F.col("place") == i, F.col(c)))
     t = D.select(p, cols, budgets, 2).filter("case = 'pivot'").groupBy("dataset_id")
