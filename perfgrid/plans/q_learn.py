@@ -179,7 +179,8 @@ ROW = ["dataset_id", "row_id", *V.TIES]
 
 @query("majority_vote", V.ctes(V.CLS, V.PRED, VOTE_SQL) + "SELECT dataset_id, row_id, vote AS prediction FROM vt")
 def majority_vote(spark, d):
-    return E.majority_vote(V.pred(spark, d), ROW).select("dataset_id", "row_id", "prediction")
+    pred = V.pred(spark, d)
+    return E.majority_vote(pred, ROW, labels=E.listed(pred, ["prediction"])).select("dataset_id", "row_id", "prediction")
 
 
 MEMBER_BER = V.ctes(V.CLS, V.PRED, CONFUSION_SQL) + f", mb AS (SELECT dataset_id, member, avg({BER_TERM}) AS e FROM conf GROUP BY 1, 2)"
@@ -310,5 +311,5 @@ def cv_ensemble(spark, d):
     m = F.col("member")
     rows = V.cls_folds(spark, d).withColumn("member", F.explode(F.array(*[F.lit(i) for i in V.MEMBERS])))
     rows = rows.withColumn("prediction", F.when(F.col("l_quantity") > 8 * m, "A").when(F.col("l_discount") > F.lit(0.02) * m, "N").otherwise("R"))
-    vote = E.majority_vote(rows, [*ROW, "fold", "label"])
+    vote = E.majority_vote(rows, [*ROW, "fold", "label"], labels=E.listed(V.pred(spark, d), ["prediction"]))
     return mean_fold_error(M.ber(vote, ["dataset_id", "fold"], out="error"), ["dataset_id"])
