@@ -1,11 +1,20 @@
-"""Rows are scored by all configurations without being exploded."""
+"""Datasets of a few blocks train without rounds, and rows are scored by all configurations without being exploded."""
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from perfgrid.operators import blocks as B
 from perfgrid.operators import cv, gnb
+from perfgrid.operators import runner as R
 from perfgrid.operators.ranking import left_out_medians
 
+LEARNERS = {
+    "DT": {"min_samples_split": "8", "max_depth": "4"}, "RF": {"n_estimators": "2", "min_samples_split": "8"}, "GBT": {"n_estimators": "2", "max_depth": "2"},
+    "AB": {"n_estimators": "3"}, "Logit": {"C": "1"}, "lSVM": {"C": "0.5"},
+}
+
+
 def rows_of(spark, n=300):
     rng = np.random.default_rng(3)
     out = []
@@ -16,6 +25,28 @@ def rows_of(spark, n=300):
     return spark.createDataFrame(out, "dataset_id int, u double, v double, w double, label string, fold int, key long")
 
 
+def test_few_blocks_need_no_rounds(spark, monkeypatch):
+    configs = [{"config_id": i, "algorithm": a, "hyperparameters": h} for i, (a, h) in enumerate(LEARNERS.items())]
+    b = B.pack(rows_of(spark), ["dataset_id"], "label", ["u", "v", "w"], F.col("key"), None, block_rows=40)
+    tasks = R.tasks_of(b.info, ["dataset_id"], configs)
+
+    def table():
+        t = B.model_table(R.fit(b, tasks, None), ["dataset_id"], b.cols).collect()
+        return {tuple(r)[:-2]: tuple(r)[-2:] for r in t}
+
+    met = []
+    real = B._meet
+    monkeypatch.setattr(B, "_meet", lambda *a, **kw: met.append(1) or real(*a, **kw))
+    whole = table()
+    assert not met
+    monkeypatch.setattr(B, "WHOLE_BYTES", 0)
+    rounds = table()
+    assert met and whole.keys() == rounds.keys() and len(whole) > 50
+    for k, pair in whole.items():
+        for a, c in zip(pair, rounds[k]):
+            assert (a is None) == (c is None) and (a is None or a == pytest.approx(c, abs=1e-7))
+
+
 def test_configs_do_not_multiply_rows(spark, monkeypatch):
     rows, cols = rows_of(spark), ["u", "v", "w"]
     args = (rows, ["dataset_id"], "label", cols, cv.FAMILY)
