@@ -13,6 +13,7 @@ from perfgrid.operators import learners as L
 from perfgrid.operators import neighbours
 from perfgrid.operators import runner as R
 from perfgrid.operators import trees as T
+from perfgrid.operators.splits import stratified_folds
 from perfgrid.plans import q_grid as G
 from perfgrid.sources.grids import ESTIMATORS, settings
 
@@ -234,3 +235,46 @@ def test_finished_tasks_are_left_out(spark, rows):
 def test_grid_names_every_algorithm():
     got = G.grid_configs()
     assert {c["algorithm"] for c in got} == set(ESTIMATORS) == set(R.ALGORITHMS) and all(settings(ESTIMATORS)[c["config_id"]]["hyperparameters"] == c["hyperparameters"] for c in got)
+
+
+def test_blocks_deal_folds_by_rank(spark):
+    """Ranks inside the blocks are those of the whole table, with repeated hashes, ties and missing values."""
+    rng = np.random.default_rng(9)
+    out = [(i % 3, int(rng.integers(400)), float(rng.integers(4)) if i % 11 else None, float(rng.normal()) if i % 7 else None, "ab"[int(rng.integers(2))] if i % 13 else None) for i in range(900)]
+    rows = spark.createDataFrame([*out, (None, 1, 1.0, 1.0, "a"), (7, 1, 1.0, 1.0, None)], "dataset_id int, id int, u double, v double, label string").withColumn("rk", F.md5(F.col("id").cast("string")))
+    key = F.conv(F.substring("rk", 1, 15), 16, 10).cast("long")
+    want = stratified_folds(rows, "dataset_id", "label", "rk", ["u", "v"]).select("dataset_id", key.alias("key"), "u", "v", "label", "fold").collect()
+    b = B.pack_folded(rows, ["dataset_id"], "label", ["u", "v"], "rk", ["u", "v"], block_rows=60)
+    names, got = {r.dataset_id: r.classes for r in b.info.collect()}, []
+    for r in b.frame.collect():
+        data = B.Data(r.asDict(), 2)
+        assert (np.diff(data.key) >= 0).all()
+        got += [(r.dataset_id, int(k), *(None if math.isnan(v) else float(v) for v in x), names[r.dataset_id][y], int(f)) for k, x, y, f in zip(data.key, data.x, data.y, data.fold)]
+    order = lambda t: sorted(map(tuple, t), key=str)
+    assert b.frame.count() > 12 and order(got) == order(want)
+    plain = B.pack(stratified_folds(rows, "dataset_id", "label", "rk", ["u", "v"]), ["dataset_id"], "label", ["u", "v"], key, block_rows=60)
+    info = [{(r.dataset_id, r.outer): r for r in t.info.collect()} for t in (b, plain)]
+    assert info[0].keys() == info[1].keys() and len(info[0]) == 18
+    for at, r in info[0].items():
+        assert r.counts == info[1][at].counts and len(r.edges) == 2
+        assert r.fill == pytest.approx(info[1][at].fill) and r.sd == pytest.approx(info[1][at].sd)
+
+
+def test_bins_are_counted_once_and_last_leaves_need_no_round():
+    """Folds share the bins of rows without missing values; a tree of depth three takes three passes."""
+    rng = np.random.default_rng(2)
+    x, y, fold = rng.integers(0, 9, (500, 2)).astype(float), rng.integers(0, 2, 500).astype(np.int32), rng.integers(0, 5, 500).astype(np.int8)
+    data = B.Data({"x": x.tobytes(), "y": y.tobytes(), "fold": fold.tobytes(), "key": np.arange(500).tobytes()}, 2)
+    infos = [{"outer": o, "imputer": "mean", "standardize": True, "classes": ["a", "b"], "counts": np.bincount(y[fold != o]).tolist(), "fill": [4.0 + o, 4.0], "shift": [0.0, 0.0], "sd": [1.0, 1.0], "edges": [[float(v) for v in range(9)]] * 2} for o in range(5)]
+    assert data.filled(infos[0]) is data.x and data.codes(infos[0]) is data.codes(infos[1])
+    for name in ("DT", "RF", "ExtraTrees"):
+        learner, h, passes = L.LEARNERS[name], {"max_depth": "3"}, 0
+        state = learner.start(h, infos[0], 0)
+        while not state.get("done"):
+            state, passes = learner.update(state, learner.partial(state, data, h, infos[0]), h, infos[0]), passes + 1
+        data.forget()
+        tree, weight = state["tree"], (T.draws(data.key, 0) if name == "RF" else np.ones(500)) * (fold != 0)
+        node = tree.route(x)
+        assert passes == 3 and max(tree.depth) == 3
+        for i in np.flatnonzero(np.array(tree.feature) == -1):
+            assert tree.sums[i].tolist() == np.bincount(y, weights=weight * (node == i), minlength=2).tolist()
